@@ -34,14 +34,14 @@ def _with_repeats(df: DataFrame) -> DataFrame:
     windows = F.col("__qr_windows")
     recurs = F.size(F.array_distinct(windows)) < F.size(windows)
     pairs = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    df = df.withColumn("__qr_pairs", F.when(recurs, F.array_sort(pairs)))
+    df = df.withColumn("__qr_pairs", F.when(recurs, F.sort_array(pairs)))
     ordered = F.col("__qr_pairs")
 
     def place(x: Column, k: Column) -> Column:
         before, after = F.get(ordered, k - 1)["h"], F.get(ordered, k + 1)["h"]
         return F.when((before.eqNullSafe(x["h"])) | (after.eqNullSafe(x["h"])), x["i"])
 
-    hit = F.array_sort(F.array_compact(F.transform(ordered, place)))
+    hit = F.sort_array(F.array_compact(F.transform(ordered, place)))
     covered = F.aggregate(
         hit,
         F.struct(F.lit(-3).alias("last"), F.lit(0).alias("total")),

@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import line_dedup, quality_rules, sharding
+from daybook.llm import decontaminate, line_dedup, packing, quality_rules, sharding
 from daybook.llm.common import read_table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontaminate.build_index(read_table(spark, sf_dir, "documents"))
+    out = decontaminate.summarize(index, read_table(spark, sf_dir, "benchmark"), window=13)
+    names = F.array_join(F.sort_array(F.transform("item_ids", lambda i: i.cast("string"))), ",")
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(names, 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    return packing.pack(read_table(spark, sf_dir, "documents"), path("word_bpe_49k.json"), window=4096, end_id=2)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
@@ -29,11 +45,30 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_packing": op2_packing,
+    "op1_decontaminate": op1_decontaminate,
     "op3_quality_rules": op3_quality_rules,
     "op4_line_dedup": op4_line_dedup,
     "op5_sharding": op5_sharding,
 }
 
+_OP1 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, least(13, len(ws)) AS n, array_to_string(ws[i:i + least(13, len(ws)) - 1], ' ') AS w
+      FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+ns AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT rid, i, n, array_to_string(ws[i:i + n - 1], ' ') AS w FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, ns WHERE len(ws) >= n)),
+m AS (SELECT rid, i, dw.n, item_id FROM dw JOIN iw ON dw.w = iw.w AND dw.n = iw.n),
+h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM m) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM (SELECT DISTINCT rid, item_id FROM m) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+"""
+
 _OP3 = r"""
 WITH d AS (SELECT *, coalesce(text, '') AS t, md5(coalesce(text, '')) AS th, coalesce('=' || source, '-') AS host FROM documents),
 r AS (SELECT row_number() OVER () AS rid, * FROM d),
@@ -67,4 +102,4 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(f.k)::BIGINT AS n_dropped,
 FROM l LEFT JOIN f USING (k) GROUP BY rid, doc_id
 """
 
-ORACLES = {"op3_quality_rules": _OP3, "op4_line_dedup": _OP4}
+ORACLES = {"op1_decontaminate": _OP1, "op3_quality_rules": _OP3, "op4_line_dedup": _OP4}
