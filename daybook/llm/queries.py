@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import decontaminate, line_dedup, packing, quality_rules, sharding
+from daybook.llm import chat_format, decontaminate, line_dedup, packing, quality_rules, sharding
 from daybook.llm.common import read_table
 
 
@@ -44,7 +44,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], table.schema)
+    return chat_format.read_back(chat_format.format_turns(table.unionByName(extra)))
+
+
 QUERIES = {
+    "op10_chat_format": op10_chat_format,
     "op2_packing": op2_packing,
     "op1_decontaminate": op1_decontaminate,
     "op3_quality_rules": op3_quality_rules,
@@ -69,6 +77,18 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 """
 
+_OP10 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(length(text) + len(regexp_extract_all(text, '</?s>|\[/?(INST|SYS|ROLE)\]|\[(OUT|TEXT)\]'))
+   + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 11
+     ELSE 7 + length(role) + 8 + 8 + len(regexp_extract_all(role, '</?s>|\[/?(INST|SYS|ROLE)\]|\[(OUT|TEXT)\]')) END))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
 _OP3 = r"""
 WITH d AS (SELECT *, coalesce(text, '') AS t, md5(coalesce(text, '')) AS th, coalesce('=' || source, '-') AS host FROM documents),
 r AS (SELECT row_number() OVER () AS rid, * FROM d),
@@ -102,4 +122,4 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(f.k)::BIGINT AS n_dropped,
 FROM l LEFT JOIN f USING (k) GROUP BY rid, doc_id
 """
 
-ORACLES = {"op1_decontaminate": _OP1, "op3_quality_rules": _OP3, "op4_line_dedup": _OP4}
+ORACLES = {"op10_chat_format": _OP10, "op1_decontaminate": _OP1, "op3_quality_rules": _OP3, "op4_line_dedup": _OP4}
