@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import chat_format, decontaminate, line_dedup, packing, quality_rules, sharding
+from daybook.llm import chat_format, decontaminate, language_model, line_dedup, packing, quality_classifier, quality_rules, sharding, url_filter
 from daybook.llm.common import read_table
 
 
@@ -44,6 +44,33 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The rules of the URL query (action, host, path).
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(quality_classifier.id_crc(), F.lit(4)) == 2
+    model = quality_classifier.train(docs, read_table(spark, sf_dir, "labels"), sample=3000, keep=~held_out)
+    out = quality_classifier.score(docs, model, threshold=0.7)
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(read_table(spark, sf_dir, "documents"), modulus=7, held=2)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
@@ -52,6 +79,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_quality_classifier": op7_quality_classifier,
+    "op9_lm_score": op9_lm_score,
+    "op6_url_filter": op6_url_filter,
     "op10_chat_format": op10_chat_format,
     "op2_packing": op2_packing,
     "op1_decontaminate": op1_decontaminate,
