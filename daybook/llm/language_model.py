@@ -170,7 +170,7 @@ class BloomModel:
 
 
 def build_filter(
-    docs: DataFrame, n_tokens: int, vocabulary: int, bits_per_token: float = 6.0, most_bits: int = 1 << 30, hashes: int = 3
+    docs: DataFrame, n_tokens: int, vocabulary: int, bits_per_token: float = 6.0, most_bits: int = 1 << 30, hashes: int = 4
 ) -> BloomModel:
     """The filter over all rows of a table with one binary column."""
     groups = max(64, n_tokens // 1_000_000)

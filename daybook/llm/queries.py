@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import chat_format, decontaminate, language_model, line_dedup, packing, quality_classifier, quality_rules, sharding, url_filter
+from daybook.llm import chat_format, decontaminate, language_model, line_dedup, near_dedup, packing, quality_classifier, quality_rules, sharding, url_filter
 from daybook.llm.common import read_table
 
 
@@ -67,6 +67,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), size=4, percent=80)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(read_table(spark, sf_dir, "documents"), modulus=7, held=2)
 
@@ -80,6 +85,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_near_dedup": op8_near_dedup,
     "op9_lm_score": op9_lm_score,
     "op6_url_filter": op6_url_filter,
     "op10_chat_format": op10_chat_format,
@@ -119,6 +125,20 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM c GROUP BY conv_id
 """
 
+_OP8 = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(ws[i:i + least(4, len(ws)) - 1], ' ') AS x
+   FROM (SELECT rid, ws, unnest(range(1, len(ws) - least(4, len(ws)) + 2)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.rid < b.rid GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT rid AS a, rid AS b FROM w UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, w.doc_id = m.c AS kept
+FROM w LEFT JOIN n USING (rid) JOIN (SELECT r.a, min(o.doc_id) AS c FROM r JOIN w o ON o.rid = r.b GROUP BY 1) m ON m.a = w.rid
+"""
+
 _OP3 = r"""
 WITH d AS (SELECT *, coalesce(text, '') AS t, md5(coalesce(text, '')) AS th, coalesce('=' || source, '-') AS host FROM documents),
 r AS (SELECT row_number() OVER () AS rid, * FROM d),
@@ -152,4 +172,4 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(f.k)::BIGINT AS n_dropped,
 FROM l LEFT JOIN f USING (k) GROUP BY rid, doc_id
 """
 
-ORACLES = {"op10_chat_format": _OP10, "op1_decontaminate": _OP1, "op3_quality_rules": _OP3, "op4_line_dedup": _OP4}
+ORACLES = {"op8_near_dedup": _OP8, "op10_chat_format": _OP10, "op1_decontaminate": _OP1, "op3_quality_rules": _OP3, "op4_line_dedup": _OP4}
