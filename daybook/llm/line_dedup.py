@@ -38,15 +38,17 @@ def _line_hashes(text: str) -> Column:
 
 
 def dedup_lines(
-    docs: DataFrame, min_docs: int = 10, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, min_docs: int = 10, id_column: str = "doc_id", text_column: str = "text", by_text: bool = False
 ) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` added.
 
     Lines whose key is found in at least ``min_docs`` documents are dropped everywhere.
+    With ``by_text``, documents are told apart by their text instead of their id, so that
+    exact copies of one document count once and keep their lines.
     """
     lines = docs.select(
         row_key(id_column, text_column).alias("__ld_row"),
-        F.col(id_column).alias("__ld_id"),
+        (F.unhex(F.md5(text_or_empty(text_column))) if by_text else F.col(id_column)).alias("__ld_id"),
         F.posexplode(_line_hashes(text_column)).alias("__ld_pos", "__ld_key"),
     ).filter(F.col("__ld_key").isNotNull())
     frequent = (

@@ -81,16 +81,16 @@ def _lots(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordB
 
 
 def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
-    """(doc_id, cls, n, sketch) of each row of (doc_id, text)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.binary()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+    """(doc_id, text_hash, cls, n, sketch) of each row of (doc_id, text, text_hash)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.binary()), ("cls", pa.binary()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _lots(batches, 1):
             rows = [(c, len(s), s[:k]) for c, s in shingle_sets(part.column(1).to_pylist(), size)]
-            columns = [part.column(0), *(pa.array(x, f.type) for x, f in zip(zip(*rows), list(schema)[1:], strict=True))]
+            columns = [part.column(0), part.column(2), *(pa.array(x, f.type) for x, f in zip(zip(*rows), list(schema)[2:], strict=True))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.mapInArrow(run, "doc_id bigint, cls binary, n bigint, sketch array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, text_hash binary, cls binary, n bigint, sketch array<bigint>")
 
 
 def full_sets(nodes: DataFrame, size: int) -> DataFrame:
@@ -254,9 +254,11 @@ def _blocks(postings: DataFrame, labels: DataFrame, graph: _Graph, width: int) -
 def near_duplicates(
     docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64, width: int = 1024, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, cls, n_shingles, component_id, kept``."""
+    """One row per row of ``docs``: ``doc_id, text_hash, cls, n_shingles, component_id, kept``
+    (``text_hash``: md5 of the text as it is; ``cls``: of its words)."""
     own = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
-    rows = written(sketches(own, size, k), "sketches")
+    hashed = own.withColumn("text_hash", F.unhex(F.md5(F.coalesce("text", F.lit(b"").cast("binary")))))
+    rows = written(sketches(hashed, size, k), "sketches")
     nodes = written(
         rows.filter("cls IS NOT NULL")
         .groupBy("cls")
@@ -310,6 +312,7 @@ def near_duplicates(
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
         "doc_id",
+        "text_hash",
         "cls",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),

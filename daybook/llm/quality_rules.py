@@ -87,6 +87,11 @@ def text_rules(docs: DataFrame, text_column: str = "text") -> DataFrame:
     )
 
 
+def host_key(host_column: str = "source") -> Column:
+    """The host as a string that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(host_column).cast("string")), F.lit("-"))
+
+
 def judge(
     docs: DataFrame,
     max_texts: int = 100,
@@ -102,7 +107,7 @@ def judge(
     keys = F.transform(F.split(text, "\n"), line_key)
     own = docs.select(
         F.col(id_column).alias("doc_id"),
-        F.coalesce(F.concat(F.lit("="), F.col(host_column).cast("string")), F.lit("-")).alias("host"),
+        host_key(host_column).alias("host"),
         F.unhex(F.md5(text)).alias("text_hash"),
         F.array_distinct(
             F.transform(keys, lambda k: F.struct(F.unhex(F.md5(k)).alias("key"), F.length(k).alias("len")))
