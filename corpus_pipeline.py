@@ -1,12 +1,88 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of ``documents``. Columns that a stage adds on its way start with ``__cp_``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from daybook.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
+from daybook.llm.common import read_table, text_or_empty, written
+
+
+def _text_hash() -> Column:
+    return F.unhex(F.md5(text_or_empty()))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    kept = quality_rules.judge(docs).filter("kept").select("doc_id", "text_hash", "host").distinct()
+    own = docs.withColumns({"__cp_hash": _text_hash(), "__cp_host": quality_rules.host_key()})
+    same = (
+        own["doc_id"].eqNullSafe(kept["doc_id"]) & (own["__cp_hash"] == kept["text_hash"]) & (own["__cp_host"] == kept["host"])
+    )
+    return own.join(kept, same, "left_semi").drop("__cp_hash", "__cp_host")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in ten or more different texts go; ``n_chars`` follows. No document goes:
+    one whose lines were all common stays with an empty text."""
+    out = line_dedup.dedup_lines(docs, min_docs=10, by_text=True)
+    changed = F.col("n_dropped") > 0
+    return out.withColumns(
+        {
+            "text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")),
+            "n_chars": F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")),
+        }
+    ).select(docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five words, 0.8) the document of least id stays."""
+    found = written(near_dedup.near_duplicates(docs, size=5, percent=80).filter("kept").select("doc_id", "text_hash"), "kept")
+    kept = found.distinct()
+    own = docs.withColumn("__cp_hash", _text_hash())
+    same = own["doc_id"].eqNullSafe(kept["doc_id"]) & (own["__cp_hash"] == kept["text_hash"])
+    out = own.join(kept, same, "left_semi")
+    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return out.drop("__cp_hash")
+    # Repeated ids: one row of each component stays, and repeated rows are one.
+    first = Window.partitionBy("doc_id").orderBy("__cp_hash")
+    return out.withColumn("__cp_nth", F.row_number().over(first)).filter("__cp_nth = 1").drop("__cp_hash", "__cp_nth")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a 13-word window of a benchmark item occurs go."""
+    index = decontaminate.build_index(docs)
+    hit = decontaminate.summarize(index, read_table(spark, sf_dir, "benchmark"), window=13).filter("n_hit > 0")
+    hit = hit.select("doc_id").distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All that is left as pieces of sequences of at most 4096 ids."""
+    from public_tokenizers import path
+
+    return packing.pack(docs, path("word_bpe_49k.json"), window=4096, end_id=2)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_dedup", near_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
+#: Neither the tokenizer nor the plan of the packing can be put in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage_{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
