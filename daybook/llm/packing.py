@@ -22,23 +22,39 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.llm.common import text_or_empty, written
 
-#: Distinct words a worker remembers; beyond it the memory is emptied and filled anew.
-CACHE_WORDS = 300_000
-_MARK = "\x01"
+#: Distinct words, and letter or sign runs, a worker remembers; beyond it that memory is
+#: emptied and filled anew.
+CACHE_WORDS, CACHE_RUNS = 500_000, 400_000
 _open: dict[str, WordTokens] = {}
+#: Fixed value: how the word tokenizer cuts a word into runs.
+_RUN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where Latin-1
+    shows it, and else the next one from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = sorted(set(range(256)).difference(shown))
+    return {b: 0x100 + i for i, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
 
 
 class WordTokens:
     """Ids of words by a tokenizer that never joins across blanks.
 
-    The word tokenizer drops white space and its merges stay inside words, so a text's ids
-    are its words' ids one after the other. Words not yet known are encoded together, with
-    a mark between them whose id tells them apart.
+    The word tokenizer drops white space, lowers case and cuts words into runs of letters or
+    signs, and its merges stay inside runs, so a text's ids are its words' ids one after the
+    other, and a word's are its runs'. Words and runs seen are remembered. Words with letters
+    past U+024F (where composing or lowering may change more than a letter) or with ``<|``
+    (special tokens) are given to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,29 +62,31 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        mark = self.encode(_MARK)
-        self.mark = int(mark[0]) if len(mark) == 1 else None
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            plain = [w for w in part if _MARK not in w and self.mark is not None]
-            if plain:
-                ids = self.encode(f" {_MARK} ".join(plain))
-                cuts = np.flatnonzero(ids == self.mark)
-                pieces = np.split(ids, cuts)
-                pieces = [pieces[0], *(p[1:] for p in pieces[1:])]
-                if len(pieces) == len(plain):
-                    self.known.update(zip(plain, (p.tobytes() for p in pieces), strict=True))
-                else:
-                    plain = []
-            done = set(plain)
-            self.known.update((w, self.encode(w).tobytes()) for w in part if w not in done)
+        self.runs: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def run(self, run: str) -> bytes:
+        got = self.runs.get(run)
+        if got is None:
+            if len(self.runs) >= CACHE_RUNS:
+                self.runs.clear()
+            found = self.tokenizer.model.tokenize(run.encode().decode("latin-1").translate(_LETTERS))
+            got = self.runs[run] = b"".join([t.id.to_bytes(4, "little") for t in found])
+        return got
+
+    def word(self, word: str) -> bytes:
+        if not word:
+            return b""
+        if max(word) > "\u024f" or "<|" in word:
+            return self.encode(word)
+        low = word.lower()
+        if low.isalpha():
+            return self.run(low)
+        if low[:-1].isalpha() and low[-1] in ",.;:!?":
+            return self.run(low[:-1]) + self.run(low[-1])
+        return b"".join(map(self.run, _RUN.findall(low)))
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -78,7 +96,8 @@ class WordTokens:
             if len(self.known) + len(new) > CACHE_WORDS:
                 self.known.clear()
                 new = set().union(*split)
-            self.learn(sorted(new))
+            word = self.word
+            self.known.update((w, word(w)) for w in new)
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
