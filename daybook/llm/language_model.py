@@ -40,7 +40,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The end token; no word is empty.
 END = b""
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 400_000
 
 
 def tokens(text: bytes | None) -> list[bytes]:
