@@ -10,10 +10,11 @@ frequency). A passage that many documents share is thus listed only where it mak
 of a text. The filter demands half of the values in common; that a pair of similarity 0.8
 has fewer has a probability of 2e-8 at k = 64, and none where sets have at most k members.
 
-Groups are joined without all pairs of a list: first texts meet the least text of the list
-of their least value (a star), then, where a list still holds several groups, the least text
-of the list meets the others, and at last what is still apart in a list is compared in
-blocks, only between groups. The overlap of the k least values of the union estimates each
+Groups are joined without all pairs of a list: first texts meet the head of the list of
+their least value (a star), then, where a list still holds several groups, the head of the
+list meets the others, and at last what is still apart in a list is compared in blocks, only
+between groups. The head is the text whose values are found in most others: the original of
+many copies. The overlap of the k least values of the union estimates each
 pair, and full sets verify it. Skipped pairs lie within one group already, so the groups are
 those of all links.
 
@@ -151,6 +152,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class _Graph:
+    fine = 256
+
     def __init__(self, k: int, percent: int, nodes: DataFrame, sets: DataFrame) -> None:
         self.k, self.percent, self.nodes, self.sets = k, percent, nodes, sets
 
@@ -184,11 +187,25 @@ def _labelled(df: DataFrame, labels: DataFrame | None) -> DataFrame:
     return df.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def _meet(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """The head of each list with what is in the list and not yet in the head's group."""
+    heads = _labelled(postings.select(F.col("head").alias("node")).distinct(), labels)
+    return (
+        _labelled(postings, labels)
+        .join(heads.select(F.col("node").alias("head"), F.col("label").alias("of_head")), "head")
+        .filter("label <> of_head")
+        .select(F.col("head").alias("a"), F.col("node").alias("b"))
+        .distinct()
+    )
+
+
 def _blocks(postings: DataFrame, labels: DataFrame, graph: _Graph, width: int) -> DataFrame:
     """Pairs of different groups in one list, compared ``width`` by ``width``.
 
     In each list the largest group is the trunk; texts outside it meet one another and the
-    trunk. Only pairs that share enough values leave a task."""
+    trunk. Here ``graph.fine`` values of each text are compared, by their upper halves (equal
+    halves of other values only add to an overlap): whole sets up to that size, which decide,
+    and sketches beyond, of which those leave the task that may be similar."""
     own = _labelled(postings, labels)
     groups = own.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c"))
     lists = groups.groupBy("value").agg(
@@ -211,13 +228,15 @@ def _blocks(postings: DataFrame, labels: DataFrame, graph: _Graph, width: int) -
     )
     of_trunk = F.transform(upto(F.col("no")), lambda i: cell(i, -1 - t, F.lit(False)))
     cells = own.select("value", "node", "label", F.explode(F.when(F.col("outer"), of_outer).otherwise(of_trunk)).alias("x"))
-    cells = cells.join(graph.nodes.select("node", "sketch"), "node").select("value", "x.*", "node", "label", "sketch")
-    k, percent, common = graph.k, graph.percent, least_common(graph.k, graph.percent)
+    marks = F.transform(F.slice("members", 1, graph.fine), lambda x: F.shiftright(x, 32).cast("int"))
+    fine = graph.sets.select("node", F.size("members").alias("n"), marks.alias("sketch"))
+    cells = cells.join(fine, "node").select("value", "x.*", "node", "label", "n", "sketch")
+    most, percent, common = graph.fine, graph.percent, least_common(graph.fine, graph.percent)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(table: pa.Table) -> pa.Table:
         rows = table["row"].to_numpy(zero_copy_only=False).astype(bool)
-        node, label = table["node"].to_numpy(), table["label"].to_numpy()
+        node, label, n = (table[c].to_numpy() for c in ("node", "label", "n"))
         kept = table["sketch"].combine_chunks()
         size = np.asarray(kept.value_lengths())
         values, place = np.unique(np.asarray(kept.flatten()), return_inverse=True)
@@ -242,8 +261,15 @@ def _blocks(postings: DataFrame, labels: DataFrame, graph: _Graph, width: int) -
                     m[at[owner[mine]], column[place[mine]] - low] = 1
                     matrices.append(m)
                 overlap += matrices[0] @ matrices[1].T
-            least = np.minimum(common, np.ceil(np.minimum.outer(size[left], size[right]) * percent / 100))
-            i, j = np.nonzero((overlap >= least) & (label[left][:, None] != label[right][None, :]))
+            ni, nj = n[left][:, None], n[right][None, :]
+            small, large = np.minimum(ni, nj), np.maximum(ni, nj)
+            alike = np.where(
+                large <= most,
+                100 * overlap >= percent * (ni + nj - overlap),
+                overlap >= np.minimum(common, np.ceil(np.minimum(small, most) * percent / 100)),
+            )
+            alike &= (100 * small >= percent * large) & (label[left][:, None] != label[right][None, :])
+            i, j = np.nonzero(alike)
             found_a, found_b = node[left[i]], node[right[j]]
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())}, schema=schema)
 
@@ -271,13 +297,18 @@ def near_duplicates(
     shared = values.join(often, "value")
     per_node = Window.partitionBy("node")
     shared = shared.withColumns(
-        {"place": F.row_number().over(per_node.orderBy("df", "value")), "here": F.count(F.lit(1)).over(per_node)}
+        {
+            "place": F.row_number().over(per_node.orderBy("df", "value")),
+            "here": F.count(F.lit(1)).over(per_node),
+            # An original has no values of its own: most of its values are in its copies too.
+            "middle": F.struct(F.sum(F.log("df")).over(per_node).alias("s"), F.col("node").alias("n")),
+        }
     )
     # Values found in one text alone come first in the order and fill the prefix unlisted.
     prefix = F.col("m") - needed(F.col("m"), k, percent) + 1
-    postings = written(shared.filter(F.col("m") - F.col("here") + F.col("place") <= prefix).select("value", "node"), "postings")
-    lists = postings.groupBy("value").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("least")).filter("c > 1")
-    postings = written(postings.join(lists.select("value", "least"), "value"), "lists")
+    postings = written(shared.filter(F.col("m") - F.col("here") + F.col("place") <= prefix).select("value", "node", "middle"), "postings")
+    lists = postings.groupBy("value").agg(F.count(F.lit(1)).alias("c"), F.max("middle").alias("head")).filter("c > 1")
+    postings = written(postings.join(lists.select("value", F.col("head.n").alias("head")), "value"), "lists")
     listed = nodes.join(postings.select("node").distinct(), "node", "left_semi")
     # Any row of a class has the same words; the row of its least id is looked for.
     one_row = listed.select("node", "id", "cls")
@@ -285,25 +316,17 @@ def near_duplicates(
     if sets.count() > listed.count():  # rows repeated whole
         sets = written(sets.dropDuplicates(["node"]), "sets")
     graph = _Graph(k, percent, nodes, sets)
-    first = nodes.select("node", F.get("sketch", F.lit(0)).alias("value")).join(postings.select("node").distinct(), "node", "left_semi")
-    heads = first.groupBy("value").agg(F.min("node").alias("a"))
-    star = first.join(heads, "value").filter("node > a").select("a", F.col("node").alias("b"))
+    middle = postings.groupBy("node").agg(F.first("middle").alias("middle"))
+    first = nodes.select("node", F.get("sketch", F.lit(0)).alias("value")).join(middle, "node")
+    heads = first.groupBy("value").agg(F.max("middle").alias("m")).select("value", F.col("m.n").alias("a"))
+    star = first.join(heads, "value").filter("node <> a").select("a", F.col("node").alias("b"))
     edges = written(graph.verified(graph.estimated(star)), "links")
     labels = edges.select(F.col("b").alias("node"), F.col("a").alias("label"))
-    # The least text of each list meets what is not yet in its group.
-    seen = _labelled(postings, labels)
-    heads = _labelled(postings.select("least").distinct().withColumnRenamed("least", "node"), labels)
-    meet = (
-        seen.join(heads.select(F.col("node").alias("least"), F.col("label").alias("head")), "least")
-        .filter("label <> head AND node <> least")
-        .select(F.col("least").alias("a"), F.col("node").alias("b"))
-        .distinct()
-    )
-    edges = written(edges.unionAll(graph.verified(graph.estimated(meet))), "links")
+    edges = written(edges.unionAll(graph.verified(graph.estimated(_meet(postings, labels)))), "links")
     labels = components(edges)
     rest = written(_blocks(postings, labels, graph, width), "pairs")
     if not rest.isEmpty():
-        edges = edges.unionAll(graph.verified(graph.estimated(rest)))
+        edges = edges.unionAll(graph.verified(rest))
         labels = components(edges)
     named = _labelled(nodes.select("node", "cls", "id"), labels)
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
