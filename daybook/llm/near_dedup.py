@@ -199,21 +199,34 @@ def _meet(postings: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(postings: DataFrame, labels: DataFrame, graph: _Graph, width: int) -> DataFrame:
-    """Pairs of different groups in one list, compared ``width`` by ``width``.
+#: Lists of at most so many texts are compared pair by pair, larger ones in blocks.
+SMALL_LIST = 24
 
-    In each list the largest group is the trunk; texts outside it meet one another and the
-    trunk. Here ``graph.fine`` values of each text are compared, by their upper halves (equal
-    halves of other values only add to an overlap): whole sets up to that size, which decide,
-    and sketches beyond, of which those leave the task that may be similar."""
+
+def _apart(postings: DataFrame, labels: DataFrame, graph: _Graph, width: int) -> DataFrame:
+    """Pairs (a, b) of different groups in one list that may be similar, a below b."""
     own = _labelled(postings, labels)
     groups = own.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c"))
     lists = groups.groupBy("value").agg(
         F.count(F.lit(1)).alias("labels"), F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top")
     ).filter("labels > 1")
     lists = lists.select("value", F.col("top.label").alias("trunk"), F.col("top.c").alias("c"), "all")
+    own = written(own.join(lists, "value"), "apart")
+    few = own.filter(F.col("all") <= SMALL_LIST)
+    a, b = (few.select("value", F.col("node").alias(s), F.col("label").alias(f"l{s}")) for s in "ab")
+    pairs = a.join(b, "value").filter("a < b AND la <> lb").select("a", "b").distinct()
+    return graph.estimated(pairs).unionAll(_blocks(own.filter(F.col("all") > SMALL_LIST), graph, width))
+
+
+def _blocks(own: DataFrame, graph: _Graph, width: int) -> DataFrame:
+    """Pairs of different groups in one list, compared ``width`` by ``width``.
+
+    In each list the largest group is the trunk; texts outside it meet one another and the
+    trunk. Here ``graph.fine`` values of each text are compared, by their upper halves (equal
+    halves of other values only add to an overlap): whole sets up to that size, which decide,
+    and sketches beyond, of which those leave the task that may be similar."""
     slabs = lambda n: F.ceil(n / width).cast("int")
-    own = own.join(lists, "value").withColumns(
+    own = own.withColumns(
         {"outer": F.col("label") != F.col("trunk"), "no": slabs(F.col("all") - F.col("c")), "nt": slabs(F.col("c"))}
     )
     spread = F.xxhash64("node")
@@ -324,9 +337,9 @@ def near_duplicates(
     labels = edges.select(F.col("b").alias("node"), F.col("a").alias("label"))
     edges = written(edges.unionAll(graph.verified(graph.estimated(_meet(postings, labels)))), "links")
     labels = components(edges)
-    rest = written(_blocks(postings, labels, graph, width), "pairs")
+    rest = written(_apart(postings, labels, graph, width), "pairs")
     if not rest.isEmpty():
-        edges = edges.unionAll(graph.verified(rest))
+        edges = edges.unionAll(graph.verified(rest.distinct()))
         labels = components(edges)
     named = _labelled(nodes.select("node", "cls", "id"), labels)
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
