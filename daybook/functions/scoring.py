@@ -12,7 +12,7 @@ from daybook.vocab import PROJECT_MIN_DAYS, SCORE_WEIGHTS, TYPE_BASE
 
 def days_since(last_seen: Column, today: dt.date) -> Column:
     """Days from ``last_seen`` to today, not below 0; 999 where unknown."""
-    return F.coalesce(F.greatest(F.datediff(F.lit(today), last_seen), F.lit(0)), F.lit(999))
+    return F.when(last_seen.isNull(), 999).otherwise(F.greatest(F.datediff(F.lit(today), last_seen), F.lit(0)))
 
 
 def freshness(days: Column) -> Column:
