@@ -17,14 +17,26 @@ def _text_hash() -> Column:
     return F.unhex(F.md5(text_or_empty()))
 
 
+#: Key rows (some 60 bytes each) that may be sent to every executor; more are joined by shuffle.
+SENT_ROWS = 200_000
+
+
+def _without(docs: DataFrame, keys: DataFrame, on: Column) -> DataFrame:
+    """``docs`` without the rows that match ``keys``. The keys are counted first: few go to
+    the documents, many meet them by shuffle."""
+    few = keys.count() <= SENT_ROWS
+    return docs.join(F.broadcast(keys) if few else keys, on, "left_anti")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    kept = quality_rules.judge(docs).filter("kept").select("doc_id", "text_hash", "host").distinct()
+    gone = quality_rules.judge(docs).filter("NOT kept").select("doc_id", "text_hash", "host").distinct()
+    gone = written(gone, "rejected")
     own = docs.withColumns({"__cp_hash": _text_hash(), "__cp_host": quality_rules.host_key()})
     same = (
-        own["doc_id"].eqNullSafe(kept["doc_id"]) & (own["__cp_hash"] == kept["text_hash"]) & (own["__cp_host"] == kept["host"])
+        own["doc_id"].eqNullSafe(gone["doc_id"]) & (own["__cp_hash"] == gone["text_hash"]) & (own["__cp_host"] == gone["host"])
     )
-    return own.join(kept, same, "left_semi").drop("__cp_hash", "__cp_host")
+    return _without(own, gone, same).drop("__cp_hash", "__cp_host")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +54,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, 0.8) the document of least id stays."""
-    found = written(near_dedup.near_duplicates(docs, size=5, percent=80).filter("kept").select("doc_id", "text_hash"), "kept")
-    kept = found.distinct()
+    found = written(near_dedup.near_duplicates(docs, size=5, percent=80).select("doc_id", "text_hash", "kept"), "kept")
+    gone = found.filter("NOT kept").select("doc_id", "text_hash").distinct()
     own = docs.withColumn("__cp_hash", _text_hash())
-    same = own["doc_id"].eqNullSafe(kept["doc_id"]) & (own["__cp_hash"] == kept["text_hash"])
-    out = own.join(kept, same, "left_semi")
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    same = own["doc_id"].eqNullSafe(gone["doc_id"]) & (own["__cp_hash"] == gone["text_hash"])
+    out = _without(own, gone, same)
+    if found.filter("kept").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return out.drop("__cp_hash")
     # Repeated ids: one row of each component stays, and repeated rows are one.
     first = Window.partitionBy("doc_id").orderBy("__cp_hash")
@@ -58,8 +70,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents in which a 13-word window of a benchmark item occurs go."""
     index = decontaminate.build_index(docs)
     hit = decontaminate.summarize(index, read_table(spark, sf_dir, "benchmark"), window=13).filter("n_hit > 0")
-    hit = hit.select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    hit = written(hit.select("doc_id").distinct(), "leaks")
+    return _without(docs, hit, docs["doc_id"].eqNullSafe(hit["doc_id"]))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
