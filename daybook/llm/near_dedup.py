@@ -224,7 +224,8 @@ def _blocks(own: DataFrame, graph: _Graph, width: int) -> DataFrame:
     In each list the largest group is the trunk; texts outside it meet one another and the
     trunk. Here ``graph.fine`` values of each text are compared, by their upper halves (equal
     halves of other values only add to an overlap): whole sets up to that size, which decide,
-    and sketches beyond, of which those leave the task that may be similar."""
+    and sketches beyond, of which those leave the task that may be similar, once for all
+    their lists."""
     slabs = lambda n: F.ceil(n / width).cast("int")
     own = own.withColumns(
         {"outer": F.col("label") != F.col("trunk"), "no": slabs(F.col("all") - F.col("c")), "nt": slabs(F.col("c"))}
@@ -243,7 +244,9 @@ def _blocks(own: DataFrame, graph: _Graph, width: int) -> DataFrame:
     cells = own.select("value", "node", "label", F.explode(F.when(F.col("outer"), of_outer).otherwise(of_trunk)).alias("x"))
     marks = F.transform(F.slice("members", 1, graph.fine), lambda x: F.shiftright(x, 32).cast("int"))
     fine = graph.sets.select("node", F.size("members").alias("n"), marks.alias("sketch"))
-    cells = cells.join(fine, "node").select("value", "x.*", "node", "label", "n", "sketch")
+    # At most as many lists as a node has retained values.
+    where = own.groupBy("node").agg(F.collect_set("value").alias("listed"))
+    cells = cells.join(fine, "node").join(where, "node").select("value", "x.*", "node", "label", "n", "sketch", "listed")
     most, percent, common = graph.fine, graph.percent, least_common(graph.fine, graph.percent)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -283,6 +286,11 @@ def _blocks(own: DataFrame, graph: _Graph, width: int) -> DataFrame:
             )
             alike &= (100 * small >= percent * large) & (label[left][:, None] != label[right][None, :])
             i, j = np.nonzero(alike)
+            # A pair that meets in several lists is reported in the first of them.
+            sets = [frozenset(x) for x in table["listed"].to_pylist()]
+            here = table["value"][0].as_py()
+            first = np.array([min(sets[a] & sets[b]) == here for a, b in zip(left[i].tolist(), right[j].tolist())], bool)
+            i, j = i[first], j[first]
             found_a, found_b = node[left[i]], node[right[j]]
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())}, schema=schema)
 
