@@ -6,8 +6,10 @@ a probe fails. Probabilities interpolate the two orders, with one added to word
 
 The filter is blocked by hash: n-grams are counted and entered group by group, each group in
 a block of bits of its own, so no worker holds the whole. Its size follows the tokens
-learnt from (``bits_per_token``) up to ``most_bits``, and that bounds what is broadcast;
-beyond it no n-gram is left out, false positives become more frequent.
+learnt from (``bits_per_token``) without bound, so the rate of false positives does not grow
+with the corpus. A filter of up to ``most_bits`` is broadcast. A larger one stays in blocks:
+the distinct n-grams of each lot of texts go to their groups' blocks, are probed there, and
+their counts go back to the lot. Both ways give the same scores.
 
 Beside it stands an exact base: log10((c + 1) / (N + V + 1)) summed over tokens. Counts of
 the most frequent words, at most ``head`` of them, are broadcast; the other words of each
@@ -29,6 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,7 +134,7 @@ def _numbered(lot: list[list[bytes]]) -> tuple[_Words, np.ndarray, np.ndarray, n
 
 @dataclass
 class BloomModel:
-    blocks: np.ndarray  # one row of bytes per group
+    blocks: np.ndarray | None  # one row of bytes per group
     bits: int
     hashes: int
     tokens: int
@@ -156,25 +159,41 @@ class BloomModel:
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """The middle of each quantum: 0, 1, then 1.5 * 2^(q-1)."""
-        q = self.quantised(keys).astype(np.float64)
-        return np.where(q == 0, 0.0, np.where(q == 1, 1.0, 1.5 * 2 ** (q - 1)))
+        return _middles(self.quantised(keys))
 
     def log10(self, words: list[bytes], ids: np.ndarray, before: np.ndarray) -> np.ndarray:
         """log10 probability of each token after the one before it."""
         keys = word_keys(iter(words), len(words))
         single = self.counts(_mixed(keys))
-        unigram = (single + 1) / (self.tokens + self.vocabulary + 1)
         pair = self.counts(pair_keys(keys[before], keys[ids]))
-        follows = np.minimum(1.0, pair / np.maximum(single[before], 1.0))
-        return np.log10(self.share * follows + (1 - self.share) * unigram[ids])
+        return self.interpolated(single[ids], single[before], pair)
+
+    def interpolated(self, single: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """log10 probabilities from the counts of tokens, of those before them, and of both."""
+        unigram = (single + 1) / (self.tokens + self.vocabulary + 1)
+        follows = np.minimum(1.0, pair / np.maximum(before, 1.0))
+        return np.log10(self.share * follows + (1 - self.share) * unigram)
+
+
+def _middles(q: np.ndarray) -> np.ndarray:
+    q = q.astype(np.float64)
+    return np.where(q == 0, 0.0, np.where(q == 1, 1.0, 1.5 * 2 ** (q - 1)))
 
 
-def build_filter(
-    docs: DataFrame, n_tokens: int, vocabulary: int, bits_per_token: float = 6.0, most_bits: int = 1 << 30, hashes: int = 4
-) -> BloomModel:
-    """The filter over all rows of a table with one binary column."""
+def _cut(keys: np.ndarray, groups: int) -> list[tuple[int, int, int]]:
+    """(group, start, end) of each group that occurs in sorted keys."""
+    cuts = np.searchsorted(_group(keys, groups), np.arange(groups + 1))
+    return [(g, a, b) for g, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+
+
+def filter_size(n_tokens: int, bits_per_token: float) -> tuple[int, int]:
+    """(groups, bits of each group's block)."""
     groups = max(64, n_tokens // 1_000_000)
-    bits = max(64, int(min(bits_per_token * n_tokens, most_bits)) // groups // 8 * 8)
+    return groups, max(64, int(bits_per_token * n_tokens) // groups // 8 * 8)
+
+
+def filter_blocks(docs: DataFrame, groups: int, bits: int, hashes: int) -> DataFrame:
+    """(grp, block): the filter over all rows of a table with one binary column."""
     schema = pa.schema([("grp", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +206,7 @@ def build_filter(
             keys, n = keys[n > 0], n[n > 0].astype(np.uint32)
             order = np.argsort(keys)
             keys, n = keys[order], n[order]
-            cuts = np.searchsorted(_group(keys, groups), np.arange(groups + 1))
-            rows = [(g, keys[a:b].tobytes(), n[a:b].tobytes()) for g, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            rows = [(g, keys[a:b].tobytes(), n[a:b].tobytes()) for g, a, b in _cut(keys, groups)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
     def enter(table: pa.Table) -> pa.Table:
@@ -206,16 +224,58 @@ def build_filter(
         return pa.table({"grp": [table["grp"][0].as_py()], "block": [np.packbits(block, bitorder="little").tobytes()]})
 
     counted = docs.mapInArrow(count, "grp bigint, keys binary, counts binary")
-    blocks = np.zeros((groups, bits // 8), np.uint8)
-    # Bounded: most_bits / 8 bytes in all.
-    for row in counted.groupBy("grp").applyInArrow(enter, "grp bigint, block binary").toLocalIterator():
-        blocks[row.grp] = np.frombuffer(row.block, np.uint8)
-    return BloomModel(blocks, bits, hashes, n_tokens, vocabulary)
+    return counted.groupBy("grp").applyInArrow(enter, "grp bigint, block binary")
+
+
+def _gathered(blocks: DataFrame, groups: int, bits: int) -> np.ndarray:
+    """All blocks on the driver: the caller bounds their size."""
+    out = np.zeros((groups, bits // 8), np.uint8)
+    for row in blocks.toLocalIterator():
+        out[row.grp] = np.frombuffer(row.block, np.uint8)
+    return out
+
+
+def _asked(words: _Words, ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the lot's sorted distinct keys, places in them of each token, its predecessor, both)."""
+    own = word_keys(iter(words), len(words))
+    single, pair = _mixed(own), pair_keys(own[before], own[ids])
+    keys = np.unique(np.concatenate([single, pair]))
+    at = np.searchsorted(keys, single).astype(np.int32)
+    return keys, np.stack([at[ids], at[before], np.searchsorted(keys, pair).astype(np.int32)])
+
+
+def _block_scores(table: DataFrame, blocks: DataFrame, model: BloomModel) -> DataFrame:
+    """(row, score) from a table of lots: rows (lot, grp, keys) for the groups, in which each
+    block is held by the one task that probes it, and rows (lot, row, places) for the texts.
+    ``model`` has no blocks."""
+
+    def probe(asked: pa.Table, block: pa.Table) -> pa.Table:
+        if block.num_rows and asked.num_rows:
+            one = np.frombuffer(block["block"][0].as_py(), np.uint8).reshape(1, -1)
+            here = BloomModel(one, model.bits, model.hashes, model.tokens, model.vocabulary)
+            found = [here.quantised(np.frombuffer(k.as_py(), np.uint64)).tobytes() for k in asked["keys"]]
+        else:
+            found = [bytes(len(k.as_py()) // 8) for k in asked["keys"]]
+        return pa.table({"lot": asked["lot"], "grp": asked["grp"], "q": pa.array(found, pa.binary())})
+
+    def add_up(texts: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.sort_by("grp")
+        count = _middles(np.frombuffer(b"".join(x.as_py() for x in found["q"]), np.int8))
+        scores = []
+        for places in texts["places"]:
+            word, before, pair = np.frombuffer(places.as_py(), np.int32).reshape(3, -1)
+            scores.append(float(model.interpolated(count[word], count[before], count[pair]).sum()))
+        return pa.table({"row": texts["row"], "score": pa.array(scores, pa.float64())})
+
+    asked = table.filter("grp IS NOT NULL").select("lot", "grp", "keys")
+    found = asked.groupBy("grp").cogroup(blocks.groupBy("grp")).applyInArrow(probe, "lot bigint, grp bigint, q binary")
+    texts = table.filter("grp IS NULL").select("lot", "row", "places")
+    return texts.groupBy("lot").cogroup(found.groupBy("lot")).applyInArrow(add_up, "row bigint, score double")
 
 
 def score(
     docs: DataFrame, modulus: int = 7, held: int = 2, head: int = 200_000, id_column: str = "doc_id", text_column: str = "text",
-    bits_per_token: float = 6.0, most_bits: int = 1 << 30,
+    bits_per_token: float = 6.0, most_bits: int = 1 << 30, hashes: int = 4,
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score``."""
@@ -239,15 +299,21 @@ def score(
             break
         least = lv
     frequent = {} if least is None else {bytes(r.word): r.n for r in counts.filter(level >= least).toLocalIterator()}
-    model = build_filter(learnt, n_tokens, vocabulary, bits_per_token, most_bits)
+    groups, bits = filter_size(n_tokens, bits_per_token)
+    blocks = filter_blocks(learnt, groups, bits, hashes)
+    # A filter that is not broadcast is probed block by block.
+    sent = groups * bits <= most_bits
+    model = BloomModel(_gathered(blocks, groups, bits) if sent else None, bits, hashes, n_tokens, vocabulary)
     shared = spark.sparkContext.broadcast((frequent, model))
     kinds = pa.schema(
         [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("log_sum", pa.float64()),
-         ("score", pa.float64()), ("rest", pa.list_(pa.binary())), ("rest_n", pa.list_(pa.int64()))]
+         ("score", pa.float64()), ("rest", pa.list_(pa.binary())), ("rest_n", pa.list_(pa.int64())),
+         ("lot", pa.int64()), ("grp", pa.int64()), ("keys", pa.binary()), ("places", pa.binary())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, model = shared.value
+        lot_id = TaskContext.get().partitionId() << 33
         for part, lot in _text_batches(batches, 2):
             words, ids, before, lengths = _numbered(lot)
             listed = list(words)
@@ -261,16 +327,29 @@ def score(
                 odd, times = np.unique(mine[~there[mine]], return_counts=True)
                 rest.append([listed[i] for i in odd])
                 rest_n.append(times.tolist())
-            columns = [
-                part.column(0), part.column(1), pa.array(lengths),
-                pa.array(np.add.reduceat(there[ids].astype(np.int64), starts)), pa.array(np.add.reduceat(logs[ids], starts)),
-                pa.array(np.add.reduceat(model.log10(listed, ids, before), starts)),
-                pa.array(rest, pa.list_(pa.binary())), pa.array(rest_n, pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, schema=kinds)
-
-    ddl = "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, log_sum double, score double, rest array<binary>, rest_n array<bigint>"
-    scored = written(own.mapInArrow(run, ddl).withColumn("row", F.monotonically_increasing_id()), "lm_scores")
+            if sent:
+                scores, places = pa.array(np.add.reduceat(model.log10(listed, ids, before), starts)), None
+            else:
+                keys, at = _asked(words, ids, before)
+                scores, places = None, [at[:, a : a + n].tobytes() for a, n in zip(starts, lengths, strict=True)]
+                lots = [{"lot": lot_id, "grp": g, "keys": keys[a:b].tobytes()} for g, a, b in _cut(keys, groups)]
+                yield pa.RecordBatch.from_pylist(lots, schema=kinds)
+            columns = {
+                "doc_id": part.column(0), "held_out": part.column(1), "n_tokens": pa.array(lengths),
+                "known": pa.array(np.add.reduceat(there[ids].astype(np.int64), starts)), "log_sum": pa.array(np.add.reduceat(logs[ids], starts)),
+                "score": scores, "rest": pa.array(rest, pa.list_(pa.binary())), "rest_n": pa.array(rest_n, pa.list_(pa.int64())),
+                "lot": pa.array([lot_id] * part.num_rows, pa.int64()), "places": places and pa.array(places, pa.binary()),
+            }
+            full = [pa.nulls(part.num_rows, f.type) if columns.get(f.name) is None else columns[f.name] for f in kinds]
+            yield pa.RecordBatch.from_arrays(full, schema=kinds)
+            lot_id += 1
+
+    ddl = "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, log_sum double, score double, rest array<binary>, rest_n array<bigint>, "
+    ddl += "lot bigint, grp bigint, keys binary, places binary"
+    table = written(own.mapInArrow(run, ddl).withColumn("row", F.monotonically_increasing_id()), "lm_scores")
+    scored = table.filter("grp IS NULL").drop("lot", "grp", "keys", "places")
+    if not sent:
+        scored = scored.drop("score").join(_block_scores(table, blocks, model), "row")
     odd = scored.select("row", F.explode(F.arrays_zip("rest", "rest_n")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.rest_n").alias("times"))
     found = (
         odd.join(counts, "word")

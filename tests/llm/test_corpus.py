@@ -304,6 +304,13 @@ def test_language_model(spark, docs, head):
         assert r.score < 0
 
 
+def test_filter_beyond_the_broadcast(spark, docs):
+    """A filter too large to be sent is probed in blocks, as large and with the same scores."""
+    key = lambda r: (str(r.doc_id), r.n_tokens, round(r.base_score, 6), round(r.score, 9))
+    sent, apart = (sorted(map(key, language_model.score(docs, most_bits=most).collect())) for most in (1 << 30, 64))
+    assert len(sent) == len(ROWS) and apart == sent
+
+
 def test_filter_reads_quantised_counts():
     model = language_model.BloomModel(np.zeros((4, 4096), np.uint8), 4096 * 8, 3, 10, 10)
     keys = language_model.word_keys(iter([b"a", b"b", b"c"]), 3)
