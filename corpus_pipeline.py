@@ -53,17 +53,25 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, 0.8) the document of least id stays."""
-    found = written(near_dedup.near_duplicates(docs, size=5, percent=80).select("doc_id", "text_hash", "kept"), "kept")
-    gone = found.filter("NOT kept").select("doc_id", "text_hash").distinct()
+    """Of each group of near-duplicates (five words, 0.8) one document stays, that of least id.
+    Ids may be null or repeat: groups are told apart by their texts, not by ids. Documents
+    without words have no group and stay."""
+    found = near_dedup.near_duplicates(docs, size=5, percent=80).select("doc_id", "text_hash", "cls", "stands")
+    found = written(found, "stands")
+    gone = found.filter("NOT stands").select("doc_id", "text_hash").distinct()
     own = docs.withColumn("__cp_hash", _text_hash())
-    same = own["doc_id"].eqNullSafe(gone["doc_id"]) & (own["__cp_hash"] == gone["text_hash"])
-    out = _without(own, gone, same)
-    if found.filter("kept").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return out.drop("__cp_hash")
-    # Repeated ids: one row of each component stays, and repeated rows are one.
-    first = Window.partitionBy("doc_id").orderBy("__cp_hash")
-    return out.withColumn("__cp_nth", F.row_number().over(first)).filter("__cp_nth = 1").drop("__cp_hash", "__cp_nth")
+
+    def same(keys: DataFrame) -> Column:
+        return own["doc_id"].eqNullSafe(keys["doc_id"]) & (own["__cp_hash"] == keys["text_hash"])
+
+    times = found.filter("stands AND cls IS NOT NULL").groupBy("doc_id", "text_hash").count()
+    twice = written(times.filter("count > 1").select("doc_id", "text_hash"), "repeated")
+    if twice.isEmpty():
+        return _without(own, gone, same(gone)).drop("__cp_hash")
+    # Rows that agree in id and text: one of them stays.
+    once = own.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "__cp_hash"])
+    gone = written(gone.unionAll(twice), "gone")
+    return _without(own, gone, same(gone)).unionByName(once).drop("__cp_hash")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

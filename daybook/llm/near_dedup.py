@@ -22,6 +22,8 @@ Defined cases. Null or empty text, or one without words: an empty set, linked wi
 its own component. Fewer words than a shingle has: the whole sequence is the one shingle.
 Repeated rows and ties: equal texts are one class whose least id stands for it. Null ids are
 passed over when the least id is sought; a component of null ids alone has a null id.
+Ids may repeat or be null: ``stands`` is true for the row that stands for its component,
+its first by id (null last) and text hash, and for rows equal to it in both.
 Empty table: empty result. Very long texts are read whole. Only id and text are read.
 """
 
@@ -301,15 +303,16 @@ def _blocks(own: DataFrame, graph: _Graph, width: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64, width: int = 1024, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, text_hash, cls, n_shingles, component_id, kept``
-    (``text_hash``: md5 of the text as it is; ``cls``: of its words)."""
+    """One row per row of ``docs``: ``doc_id, text_hash, cls, n_shingles, component_id, kept,
+    stands`` (``text_hash``: md5 of the text as it is; ``cls``: of its words)."""
     own = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
     hashed = own.withColumn("text_hash", F.unhex(F.md5(F.coalesce("text", F.lit(b"").cast("binary")))))
     rows = written(sketches(hashed, size, k), "sketches")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = written(
         rows.filter("cls IS NOT NULL")
         .groupBy("cls")
-        .agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("id"), F.min(place).alias("first_row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
@@ -349,9 +352,9 @@ def near_duplicates(
     if not rest.isEmpty():
         edges = edges.unionAll(graph.verified(rest.distinct()))
         labels = components(edges)
-    named = _labelled(nodes.select("node", "cls", "id"), labels)
-    least = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    named = named.join(least, "label").select("cls", "component_id")
+    named = _labelled(nodes.select("node", "cls", "id", "first_row"), labels)
+    least = named.groupBy("label").agg(F.min("id").alias("component_id"), F.min("first_row").alias("of_all"))
+    named = named.join(least, "label").select("cls", "component_id", "of_all")
     out = rows.drop("sketch").join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
@@ -361,4 +364,5 @@ def near_duplicates(
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
+        (F.col("cls").isNull() | place.eqNullSafe(F.col("of_all"))).alias("stands"),
     )

@@ -417,6 +417,18 @@ def test_empty_tables(spark, empty, tokenizer):
     assert chat_format.read_back(chat_format.format_turns(conv)).count() == 0
 
 
+def test_near_stage_keeps_one_of_each_component(spark):
+    """Null and repeated ids: unrelated texts stay, copies go, whichever id they have."""
+    rng = random.Random(6)
+    a, b, c, d, e = (" ".join(rng.choices([f"{x}{i}" for i in range(90)], k=60)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (1, d), (2, c), (None, d), (3, e), (3, e + " x"), (None, ""), (4, ""), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    got = bag(corpus_pipeline.near_stage(spark, docs, "").collect())
+    want = [(None, a), (None, b), (1, c), (1, d), (None, ""), (4, ""), (4, "")]
+    first = min([(3, e), (3, e + " x")], key=lambda r: hashlib.md5(r[1].encode()).digest())
+    assert got == bag([*want, first])
+
+
 def test_pipeline(spark, tokenizer):
     """Each stage beside a plain version of what it keeps."""
     sf = "/root/testdata/sf0.001"
