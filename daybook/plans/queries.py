@@ -415,14 +415,17 @@ def similarity_merge(spark, sf):
 
 # --- terms and names -------------------------------------------------------------------
 
+ACRONYM = r"(?<![\p{L}\p{N}_])([A-Z][A-Z0-9]{1,7})(?![\p{L}\p{N}_])"
+
 
 @query(
     "SELECT doc_id, term FROM (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(coalesce(text, ''), '\\b[A-Z][A-Z0-9]{1,7}\\b'), lambda x: true))) AS term FROM documents WHERE regexp_matches(coalesce(text, ''), '^[\\x00-\\x7F]*$'))"
 )
 def acronym_terms(spark, sf):
-    """Acronyms of ASCII texts (word borders are ASCII's in SQL)."""
-    docs = t.table(spark, sf, "documents").filter(F.octet_length(F.coalesce("text", F.lit(""))) == F.length(F.coalesce("text", F.lit(""))))
-    found = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("\\b([A-Z][A-Z0-9]{1,7})\\b"), F.lit(1)))
+    """Acronyms of all texts; letters and digits of any script make words. The SQL reads ASCII
+    texts only, so it has the rows of those alone."""
+    docs = t.table(spark, sf, "documents")
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(ACRONYM), F.lit(1)))
     return docs.select("doc_id", F.explode(found).alias("term"))
 
 

@@ -1,6 +1,7 @@
 """The note engine: parsing, extraction, scores, links, search, graph, store, ingestion."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,6 +153,15 @@ class TestLinks:
         assert tuple(df.first()) == (0.25, 0.5)
 
 
+class TestWholeTables:
+    def test_acronyms_of_texts_in_any_script(self, spark, tmp_path):
+        texts = ["the API and XML2", "é API, ÉTAT ÉAB XÉ 中文HTTP SQL。 a_ID ID_ NASA", None, "A TOOLONGNAME ok"]
+        spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+        want = {(i, x) for i, text in enumerate(texts) for x in re.findall(r"\b[A-Z][A-Z0-9]{1,7}\b", text or "")}
+        got = queries.QUERIES["acronym_terms"](spark, str(tmp_path)).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want) and {(1, "API"), (1, "NASA")} <= want
+
+
 class TestSearch:
     @pytest.fixture(scope="class")
     def pool(self, spark):
