@@ -373,12 +373,13 @@ def project_dependency(spark, sf):
 
 def _turns(spark, sf) -> DataFrame:
     """Turns as mentions: a conversation is a file, user and system turns are decisions and
-    risks, the name is the first word."""
+    risks, the name is the first word, the summary the whole text (its first 200 characters
+    in SQL)."""
     kind = F.when(F.col("role") == "user", "decision").when(F.col("role") == "assistant", "risk").otherwise("fact")
     return t.table(spark, sf, "conversations").select(
         F.col("conv_id").cast("string").alias("file"), F.lit(0).alias("section"), F.col("turn").alias("ord"),
         F.concat(F.lit("t:"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("id"), kind.alias("type"),
-        F.split("text", " ")[0].alias("name"), F.substring("text", 1, 200).alias("summary"),
+        F.split("text", " ")[0].alias("name"), F.col("text").alias("summary"),
     )
 
 

@@ -161,6 +161,17 @@ class TestWholeTables:
         got = queries.QUERIES["acronym_terms"](spark, str(tmp_path)).collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want) and {(1, "API"), (1, "NASA")} <= want
 
+    def test_links_from_far_inside_a_turn(self, spark, tmp_path):
+        far = "x " * 150
+        rows = [(1, 0, "user", "aa " + far + "zebra"), (1, 1, "system", "zebra b"), (2, 0, "user", "cc " + far + "copper kettle"), (2, 1, "system", "dd " + far + "copper kettle")]
+        spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+        got = queries.QUERIES["section_links"](spark, str(tmp_path)).collect()
+        assert {(r.id, r.weight, r.evidence) for r in got} == {
+            ("rel:t:1:0->t:1:1:RELATES_TO", 0.5, "name_mention"), ("rel:t:2:0->t:2:1:RELATES_TO", 0.5, "shared_tokens: copper,kettle")
+        }
+        counts = queries.QUERIES["link_evidence_counts"](spark, str(tmp_path)).collect()
+        assert [(r.co_occurrence, r.cnt) for r in counts] == [(False, 2)]
+
 
 class TestSearch:
     @pytest.fixture(scope="class")
