@@ -73,9 +73,9 @@ def dependencies(entities: DataFrame, projects: DataFrame) -> DataFrame:
 
 def similar_names(entities: DataFrame, threshold: float = 0.85, days: int = 30) -> DataFrame:
     """Pairs (a, b) of one type first seen within ``days`` of one another whose names match
-    by ``threshold``, a the earlier. Before the Arrow function runs, pairs are bounded by
+    by ``threshold`` whatever their case, a the earlier. Before the Arrow function runs, pairs are bounded by
     their first days, by lengths, and by letters: 2M is at most twice the letters shared."""
-    own = entities.select("id", "type", "name", "first_seen", F.length("name").alias("len")).filter("len > 0")
+    own = entities.select("id", "type", F.lower("name").alias("name"), "first_seen").withColumn("len", F.length("name")).filter("len > 0")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("len") - 1, F.lit(1))), lambda i: F.substring("name", i, 2)))
     own = own.withColumn("grams", grams)
     keyed = own.withColumn("gram", F.explode("grams"))
@@ -91,13 +91,16 @@ def similar_names(entities: DataFrame, threshold: float = 0.85, days: int = 30)
     )
 
 
-def merge_map(pairs: DataFrame, rounds: int = 8) -> DataFrame:
+def merge_map(pairs: DataFrame) -> DataFrame:
     """(id, canonical): each id with a similar earlier one goes to its earliest. Pairs point
-    to earlier ids; following them ``rounds`` times reaches the first."""
+    to earlier ids and are followed, twice as far each time, until nothing moves."""
     best = Window.partitionBy("b").orderBy(F.desc("ratio"), "a")
     step = pairs.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select(F.col("b").alias("id"), F.col("a").alias("canonical"))
-    out = step
-    for _ in range(rounds.bit_length()):
+    # Each round's result is kept: the next one reads it three times.
+    out = step.localCheckpoint()
+    while True:
         up = out.select(F.col("id").alias("canonical"), F.col("canonical").alias("next"))
-        out = out.join(up, "canonical", "left").select("id", F.coalesce("next", "canonical").alias("canonical"))
-    return out
+        moved = out.join(up, "canonical", "left").select("id", F.coalesce("next", "canonical").alias("canonical"), "next").localCheckpoint()
+        out = moved.drop("next")
+        if moved.filter("next IS NOT NULL").isEmpty():
+            return out

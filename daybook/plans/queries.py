@@ -407,11 +407,16 @@ def link_evidence_counts(spark, sf):
 
 @query()
 def similarity_merge(spark, sf):
-    """Suppliers and customers whose names are alike, by type (the ratio has no SQL form)."""
-    s = t.table(spark, sf, "supplier").select(
-        F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_nationkey").cast("string").alias("type"), F.col("s_name").alias("name"), F.lit(D).alias("first_seen")
-    )
-    return link.merge_map(link.similar_names(s, 0.9))
+    """Suppliers and customers whose names are alike, by nation (the ratio has no SQL form).
+    They have no days, so all count as seen on one."""
+
+    def named(table: str, x: str, key: str) -> DataFrame:
+        return t.table(spark, sf, table).select(
+            F.concat(F.lit(f"{x}:"), F.col(key).cast("string")).alias("id"), F.col(f"{x}_nationkey").cast("string").alias("type"),
+            F.col(f"{x}_name").alias("name"), F.lit(D).alias("first_seen"),
+        )
+
+    return link.merge_map(link.similar_names(named("supplier", "s", "s_suppkey").unionAll(named("customer", "c", "c_custkey"))))
 
 
 # --- terms and names -------------------------------------------------------------------

@@ -148,6 +148,20 @@ class TestLinks:
         pairs = link.similar_names(spark.createDataFrame(rows, ENTITY))
         assert {(r.id, r.canonical) for r in link.merge_map(pairs).collect()} == {("b", "a")}
 
+    def test_similar_names_in_any_case(self, spark):
+        rows = [entity("a", "project", "HomeBrain", days=3), entity("b", "project", "homebrain", days=2)]
+        pairs = link.similar_names(spark.createDataFrame(rows, ENTITY)).collect()
+        assert [tuple(r) for r in pairs] == [("a", "b", 1.0)]
+
+    def test_merges_are_followed_to_the_end(self, spark):
+        pairs = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}", 0.9) for i in range(40)], "a string, b string, ratio double")
+        assert {tuple(r) for r in link.merge_map(pairs).collect()} == {(f"{i:03}", "000") for i in range(1, 41)}
+
+    def test_similarity_merge_reads_both_tables(self, spark, tmp_path):
+        spark.createDataFrame([(1, "ACME Tools", 5)], "s_suppkey bigint, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+        spark.createDataFrame([(7, "Acme tool", 5), (8, "Acme tool", 6)], "c_custkey bigint, c_name string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+        assert [tuple(r) for r in queries.QUERIES["similarity_merge"](spark, str(tmp_path)).collect()] == [("s:1", "c:7")]
+
     def test_ratio_is_not_symmetric(self, spark):
         df = spark.createDataFrame([("tide", "diet")], "a string, b string").select(tx.matching_ratio("a", "b").alias("x"), tx.matching_ratio("b", "a").alias("y"))
         assert tuple(df.first()) == (0.25, 0.5)
