@@ -18,6 +18,9 @@ many copies. The overlap of the k least values of the union estimates each
 pair, and full sets verify it. Skipped pairs lie within one group already, so the groups are
 those of all links.
 
+No join puts a head, a list, a class or a component into one task: keys with many rows are
+counted and dealt over salts (``common.spread_join``).
+
 Defined cases. Null or empty text, or one without words: an empty set, linked with nothing,
 its own component. Fewer words than a shingle has: the whole sequence is the one shingle.
 Repeated rows and ties: equal texts are one class whose least id stands for it. Null ids are
@@ -39,11 +42,10 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybook.llm.common import written
+from daybook.llm.common import HOT_ROWS, hot_keys, hot_limit, spread_join, written
 from daybook.llm.language_model import _LOWER, _mixed, word_keys
 
 BATCH_WORDS = 1_000_000
-SALTS = 16
 
 
 class _Words(dict):
@@ -127,20 +129,21 @@ def needed(m: Column, k: int, percent: int) -> Column:
     return F.least(F.lit(least_common(k, percent)), F.ceil(m * percent / 100)).cast("int")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
     """(node, label): the least node reachable over ``edges`` (a, b), by alternating stars.
-    The driver sees two numbers per round."""
+    The driver sees two numbers per round; a star of more than ``limit`` edges is spread."""
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
     last = None
     while True:
         # Every neighbour above a node goes to the least node around it.
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count(F.lit(1)).alias("c")), "least")
+        large = spread_join(both.filter("b > a"), least.drop("c"), ["a"], hot_keys(least, ["a"], limit), F.xxhash64("b"))
+        large = written(large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
         # Then every neighbour below it, and it itself.
-        below = large.groupBy("a").agg(F.min("b").alias("m"))
+        below = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("c")), "below")
         small = (
-            large.join(below, "a")
+            spread_join(large, below.drop("c"), ["a"], hot_keys(below, ["a"], limit), F.xxhash64("b"))
             .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
             .filter("a > b")
             .distinct()
@@ -167,34 +170,42 @@ class _Graph:
         floor = least_common(self.k, self.percent) / self.k
         return (F.size(common) >= least) & (F.size(F.array_intersect(union, common)) >= F.floor(floor * F.size(union)))
 
-    def estimated(self, pairs: DataFrame) -> DataFrame:
+    def _joined(self, pairs: DataFrame, table: DataFrame, hot: dict[str, DataFrame]) -> DataFrame:
+        """``pairs`` with the columns of ``table`` (node, ...) for both ends, named by the end.
+        ``hot`` has, for each end, the nodes that very many pairs share."""
+        for side, other in (("a", "b"), ("b", "a")):
+            own = table.select(*(F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in table.columns))
+            pairs = spread_join(pairs, own, [side], hot[side], F.xxhash64(other)) if side in hot else pairs.join(own, side)
+        return pairs
+
+    def estimated(self, pairs: DataFrame, hot: dict[str, DataFrame]) -> DataFrame:
         """Of pairs (a, b) of nodes, those whose sketches let them pass."""
-        for side in ("a", "b"):
-            own = self.nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"s{side}"), F.col("n").alias(f"n{side}"))
-            pairs = pairs.join(own, side)
-        sizes = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
-        return pairs.filter(sizes & self._alike(F.col("sa"), F.col("sb"))).select("a", "b")
+        pairs = self._joined(pairs, self.nodes.select("node", "n", "sketch"), hot)
+        sizes = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
+        return pairs.filter(sizes & self._alike(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame, hot: dict[str, DataFrame]) -> DataFrame:
         """Of pairs (a, b) of nodes, those whose full sets are similar."""
-        for side in ("a", "b"):
-            pairs = pairs.join(self.sets.select(F.col("node").alias(side), F.col("members").alias(f"m{side}")), side)
-        inside = F.size(F.array_intersect("ma", "mb"))
-        return pairs.filter(100 * inside >= self.percent * (F.size("ma") + F.size("mb") - inside)).select("a", "b")
+        pairs = self._joined(pairs, self.sets.select("node", "members"), hot)
+        inside = F.size(F.array_intersect("members_a", "members_b"))
+        both = F.size("members_a") + F.size("members_b") - inside
+        return pairs.filter(100 * inside >= self.percent * both).select("a", "b")
+
+    def links(self, pairs: DataFrame, hot: dict[str, DataFrame]) -> DataFrame:
+        return self.verified(self.estimated(pairs, hot), hot)
 
 
-def _labelled(df: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return df.withColumn("label", F.col("node"))
+def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _meet(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """The head of each list with what is in the list and not yet in the head's group."""
+def _meet(postings: DataFrame, labels: DataFrame, hot: DataFrame) -> DataFrame:
+    """The head of each list with what is in the list and not yet in the head's group.
+    ``hot``: heads (head) of many rows."""
     heads = _labelled(postings.select(F.col("head").alias("node")).distinct(), labels)
+    heads = heads.select(F.col("node").alias("head"), F.col("label").alias("of_head"))
     return (
-        _labelled(postings, labels)
-        .join(heads.select(F.col("node").alias("head"), F.col("label").alias("of_head")), "head")
+        spread_join(_labelled(postings.select("head", "node"), labels), heads, ["head"], hot, F.xxhash64("node"))
         .filter("label <> of_head")
         .select(F.col("head").alias("a"), F.col("node").alias("b"))
         .distinct()
@@ -205,29 +216,55 @@ def _meet(postings: DataFrame, labels: DataFrame) -> DataFrame:
 SMALL_LIST = 24
 
 
-def _apart(postings: DataFrame, labels: DataFrame, graph: _Graph, width: int) -> DataFrame:
+def _apart(postings: DataFrame, labels: DataFrame, graph: _Graph, width: int, limit: int) -> DataFrame:
     """Pairs (a, b) of different groups in one list that may be similar, a below b."""
     own = _labelled(postings, labels)
     groups = own.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c"))
     lists = groups.groupBy("value").agg(
         F.count(F.lit(1)).alias("labels"), F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top")
     ).filter("labels > 1")
-    lists = lists.select("value", F.col("top.label").alias("trunk"), F.col("top.c").alias("c"), "all")
-    own = written(own.join(lists, "value"), "apart")
+    lists = written(lists.select("value", F.col("top.label").alias("trunk"), F.col("top.c").alias("c"), "all"), "unsettled")
+    hot = hot_keys(lists, ["value"], limit, "all")
+    own = written(spread_join(own.select("value", "node", "label"), lists, ["value"], hot, F.xxhash64("node")), "apart")
     few = own.filter(F.col("all") <= SMALL_LIST)
     a, b = (few.select("value", F.col("node").alias(s), F.col("label").alias(f"l{s}")) for s in "ab")
     pairs = a.join(b, "value").filter("a < b AND la <> lb").select("a", "b").distinct()
-    return graph.estimated(pairs).unionAll(_blocks(own.filter(F.col("all") > SMALL_LIST), graph, width))
+    return graph.estimated(pairs, {}).unionAll(_blocks(own.filter(F.col("all") > SMALL_LIST), graph, width))
+
+
+def overlaps(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, step: int = 4096) -> np.ndarray:
+    """How many values each of the rows ``left`` has in common with each of ``right``; rows
+    are ``sizes`` values each. A value that a row has twice counts for both, so that halves
+    which two values of a text share never lower an overlap."""
+    different, place = np.unique(values, return_inverse=True)
+    times = np.bincount(place, minlength=len(different))
+    column = np.cumsum(times > 1) - 1
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    use, width = times[place] > 1, int((times > 1).sum())
+    out = np.zeros((len(left), len(right)), np.float32)
+    at = np.full(len(sizes), -1)
+    for low in range(0, width, step):
+        cols = min(step, width - low)
+        inside = use & (column[place] >= low) & (column[place] < low + cols)
+        matrices = []
+        for side in (left, right):
+            at[:] = -1
+            at[side] = np.arange(len(side))
+            mine = inside & (at[owner] >= 0)
+            cells = np.bincount(at[owner[mine]] * cols + column[place[mine]] - low, minlength=len(side) * cols)
+            matrices.append(cells.reshape(len(side), cols).astype(np.float32))
+        out += matrices[0] @ matrices[1].T
+    return out
 
 
 def _blocks(own: DataFrame, graph: _Graph, width: int) -> DataFrame:
     """Pairs of different groups in one list, compared ``width`` by ``width``.
 
     In each list the largest group is the trunk; texts outside it meet one another and the
-    trunk. Here ``graph.fine`` values of each text are compared, by their upper halves (equal
-    halves of other values only add to an overlap): whole sets up to that size, which decide,
-    and sketches beyond, of which those leave the task that may be similar, once for all
-    their lists."""
+    trunk. Here ``graph.fine`` values of each text are compared, by their upper halves, and
+    equal halves, in one text or in two, only add to an overlap (``overlaps``): whole sets up
+    to that size, and sketches beyond. Pairs leave the task that may be similar, once for all
+    their lists; full sets verify them."""
     slabs = lambda n: F.ceil(n / width).cast("int")
     own = own.withColumns(
         {"outer": F.col("label") != F.col("trunk"), "no": slabs(F.col("all") - F.col("c")), "nt": slabs(F.col("c"))}
@@ -256,29 +293,10 @@ def _blocks(own: DataFrame, graph: _Graph, width: int) -> DataFrame:
         rows = table["row"].to_numpy(zero_copy_only=False).astype(bool)
         node, label, n = (table[c].to_numpy() for c in ("node", "label", "n"))
         kept = table["sketch"].combine_chunks()
-        size = np.asarray(kept.value_lengths())
-        values, place = np.unique(np.asarray(kept.flatten()), return_inverse=True)
-        times = np.bincount(place, minlength=len(values))
-        column = np.cumsum(times > 1) - 1
-        owner = np.repeat(np.arange(len(node)), size)
-        use = times[place] > 1
         found_a, found_b = [], []
         left, right = np.flatnonzero(rows), np.flatnonzero(~rows)
-        if len(left) and len(right) and use.any():
-            width_ = int((times > 1).sum())
-            overlap = np.zeros((len(left), len(right)), np.float32)
-            at = np.full(len(node), -1)
-            for low in range(0, width_, 4096):
-                inside = use & (column[place] >= low) & (column[place] < low + 4096)
-                matrices = []
-                for side in (left, right):
-                    at[:] = -1
-                    at[side] = np.arange(len(side))
-                    mine = inside & (at[owner] >= 0)
-                    m = np.zeros((len(side), min(4096, width_ - low)), np.float32)
-                    m[at[owner[mine]], column[place[mine]] - low] = 1
-                    matrices.append(m)
-                overlap += matrices[0] @ matrices[1].T
+        if len(left) and len(right):
+            overlap = overlaps(np.asarray(kept.flatten()), np.asarray(kept.value_lengths()), left, right)
             ni, nj = n[left][:, None], n[right][None, :]
             small, large = np.minimum(ni, nj), np.maximum(ni, nj)
             alike = np.where(
@@ -306,19 +324,23 @@ def near_duplicates(
     """One row per row of ``docs``: ``doc_id, text_hash, cls, n_shingles, component_id, kept,
     stands`` (``text_hash``: md5 of the text as it is; ``cls``: of its words)."""
     own = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("binary").alias("text"))
-    hashed = own.withColumn("text_hash", F.unhex(F.md5(F.coalesce("text", F.lit(b"").cast("binary")))))
-    rows = written(sketches(hashed, size, k), "sketches")
+    own = own.withColumn("text_hash", F.unhex(F.md5(F.coalesce("text", F.lit(b"").cast("binary")))))
+    rows = written(sketches(own, size, k).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    limit = hot_limit(rows.count())
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = written(
         rows.filter("cls IS NOT NULL")
         .groupBy("cls")
-        .agg(F.min("doc_id").alias("id"), F.min(place).alias("first_row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        .agg(
+            F.min("doc_id").alias("id"), F.min(place).alias("first_row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
+            F.count(F.lit(1)).alias("times"),
+        )
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
-    )
+    )
     values = nodes.select("node", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
-    often = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = values.join(often, "value")
+    often = written(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "often")
+    shared = spread_join(values, often, ["value"], hot_keys(often, ["value"], limit, "df"), F.xxhash64("node"))
     per_node = Window.partitionBy("node")
     shared = shared.withColumns(
         {
@@ -332,30 +354,38 @@ def near_duplicates(
     prefix = F.col("m") - needed(F.col("m"), k, percent) + 1
     postings = written(shared.filter(F.col("m") - F.col("here") + F.col("place") <= prefix).select("value", "node", "middle"), "postings")
     lists = postings.groupBy("value").agg(F.count(F.lit(1)).alias("c"), F.max("middle").alias("head")).filter("c > 1")
-    postings = written(postings.join(lists.select("value", F.col("head.n").alias("head")), "value"), "lists")
+    lists = written(lists.select("value", "c", F.col("head.n").alias("head")), "heads")
+    hot_lists = hot_keys(lists, ["value"], limit)
+    postings = written(spread_join(postings, lists.drop("c"), ["value"], hot_lists, F.xxhash64("node")), "lists")
+    hot_heads = written(hot_keys(lists.groupBy("head").agg(F.sum("c").alias("c")), ["head"], limit), "hot_heads")
     listed = nodes.join(postings.select("node").distinct(), "node", "left_semi")
-    # Any row of a class has the same words; the row of its least id is looked for.
-    one_row = listed.select("node", "id", "cls")
-    sets = written(full_sets(own.join(one_row, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text", "cls"), size), "sets")
+    sets = written(full_sets(_one_text(own, listed, rows, limit), size), "sets")
     if sets.count() > listed.count():  # rows repeated whole
         sets = written(sets.dropDuplicates(["node"]), "sets")
     graph = _Graph(k, percent, nodes, sets)
     middle = postings.groupBy("node").agg(F.first("middle").alias("middle"))
-    first = nodes.select("node", F.get("sketch", F.lit(0)).alias("value")).join(middle, "node")
-    heads = first.groupBy("value").agg(F.max("middle").alias("m")).select("value", F.col("m.n").alias("a"))
-    star = first.join(heads, "value").filter("node <> a").select("a", F.col("node").alias("b"))
-    edges = written(graph.verified(graph.estimated(star)), "links")
+    first = written(nodes.select("node", F.get("sketch", F.lit(0)).alias("value")).join(middle, "node"), "first")
+    heads = first.groupBy("value").agg(F.max("middle").alias("m"), F.count(F.lit(1)).alias("c"))
+    heads = written(heads.select("value", F.col("m.n").alias("a"), "c"), "stars")
+    hot = {"a": hot_keys(heads, ["a"], limit)}
+    star = spread_join(first, heads.drop("c"), ["value"], hot_keys(heads, ["value"], limit), F.xxhash64("node"))
+    star = star.filter("node <> a").select("a", F.col("node").alias("b"))
+    edges = written(graph.links(star, hot), "links")
     labels = edges.select(F.col("b").alias("node"), F.col("a").alias("label"))
-    edges = written(edges.unionAll(graph.verified(graph.estimated(_meet(postings, labels)))), "links")
-    labels = components(edges)
-    rest = written(_apart(postings, labels, graph, width), "pairs")
+    meet = graph.links(_meet(postings, labels, hot_heads), {"a": hot_heads.withColumnRenamed("head", "a")})
+    edges = written(edges.unionAll(meet), "links")
+    labels = components(edges, limit)
+    rest = written(_apart(postings, labels, graph, width, limit).distinct(), "pairs")
     if not rest.isEmpty():
-        edges = edges.unionAll(graph.verified(rest.distinct()))
-        labels = components(edges)
-    named = _labelled(nodes.select("node", "cls", "id", "first_row"), labels)
-    least = named.groupBy("label").agg(F.min("id").alias("component_id"), F.min("first_row").alias("of_all"))
-    named = named.join(least, "label").select("cls", "component_id", "of_all")
-    out = rows.drop("sketch").join(named, "cls", "left")
+        hot = {s: written(hot_keys(rest.groupBy(s).agg(F.count(F.lit(1)).alias("c")), [s], limit), "hot") for s in "ab"}
+        edges = edges.unionAll(graph.verified(rest, hot))
+        labels = components(edges, limit)
+    named = written(_labelled(nodes.select("node", "cls", "id", "first_row", "times"), labels), "labelled")
+    least = named.groupBy("label").agg(F.min("id").alias("component_id"), F.min("first_row").alias("of_all"), F.count(F.lit(1)).alias("c"))
+    least = written(least, "components")
+    named = spread_join(named, least.drop("c"), ["label"], hot_keys(least, ["label"], limit), F.xxhash64("node"))
+    named = written(named.select("cls", "times", "component_id", "of_all"), "named")
+    out = spread_join(rows.drop("sketch"), named.drop("times"), ["cls"], hot_keys(named, ["cls"], limit, "times"), F.xxhash64("row"), "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
         "doc_id",
@@ -366,3 +396,17 @@ def near_duplicates(
         F.col("doc_id").eqNullSafe(component).alias("kept"),
         (F.col("cls").isNull() | place.eqNullSafe(F.col("of_all"))).alias("stands"),
     )
+
+
+def _one_text(own: DataFrame, listed: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
+    """(node, text, cls) of the first row of each class in ``listed``; once for each time that
+    the row is repeated whole."""
+
+    def key(doc_id: Column, text_hash: Column) -> Column:
+        return F.unhex(F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("~")), F.hex(text_hash)))).alias("key")
+
+    wanted = listed.select(key(F.col("first_row.doc_id"), F.col("first_row.text_hash")), "node", "cls")
+    texts = own.select(key(F.col("doc_id"), F.col("text_hash")), "text", F.monotonically_increasing_id().alias("at"))
+    repeated = rows.groupBy(key(F.col("doc_id"), F.col("text_hash"))).agg(F.count(F.lit(1)).alias("c"))
+    hot = written(hot_keys(repeated, ["key"], limit), "hot_rows")
+    return spread_join(texts, wanted, ["key"], hot, F.xxhash64("at")).select("node", "text", "cls")
