@@ -1,15 +1,22 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
-Base rules look at one text. The cross-document rule hashes normalised lines, counts the
-distinct texts per host (``source``) that carry each line, takes lines over ``max_texts``
-for boilerplate, and rejects a document when the characters left, over its distinct lines,
-are under ``min_left`` of what it had. Exact copies of one text count once, so copies do not
-turn their own lines into boilerplate; the limit is on texts, not on rows.
+Base rules look at one text. The cross-document rule hashes normalised lines and counts, per
+host (``source``), the distinct documents that carry each line. A line is over the limits if
+at least ``min_docs`` documents of its host carry it and these are at least ``min_percent`` of the
+host's documents, so that the limit means the same at every size. Lines over the limits are
+removed (``without_lines``), and a document is depleted, and rejected, when less than
+``min_left`` percent of its lines' characters (white space at their ends left out) is left.
+
+Documents are told apart by id; all rows with a null id are one document more. With
+``by_text`` they are told apart by their text, so that the copies of one document do not make
+boilerplate of its lines, and all null and empty texts are one.
 
 Defined cases. Null or empty text: no words, base_failed, not kept. Null host: a host of its
-own. Repeated rows get the same verdict. Empty table: empty result. Very long texts: all
-work in a row is linear or n log n. 3-word windows are told apart by a 64-bit hash within
-their text. Only the named columns of ``docs`` are read.
+own. A line repeated in a text weighs as often as it stands there, but makes one document.
+Ties: a line is over the limits or not in all documents of its host alike. Repeated rows get
+the same verdict. Empty table: empty result. Very long texts: all work in a row is linear or
+n log n. 3-word windows are told apart by a 64-bit hash within their text. Only the named
+columns of ``docs`` are read.
 """
 
 from __future__ import annotations
@@ -17,10 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import SPACE, strip_space, text_or_empty, written
+from daybook.llm.common import SPACE, hot_keys, hot_limit, spread_join, strip_space, text_or_empty, written
 from daybook.llm.line_dedup import line_key
 
-SALTS = 16
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -94,51 +100,61 @@ def host_key(host_column: str = "source") -> Column:
 
 def judge(
     docs: DataFrame,
-    max_texts: int = 100,
-    min_left: float = 0.2,
+    min_docs: int = 10,
+    min_percent: int = 1,
+    min_left: int = 80,
     id_column: str = "doc_id",
     text_column: str = "text",
     host_column: str = "source",
+    by_text: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: the id, the counts, ``base_failed``, ``chars``,
-    ``chars_removed`` (over distinct lines), ``kept``, and the row's 16-byte
-    ``text_hash`` and ``host``."""
+    ``chars_removed``, ``removed`` (places of the lines over the limits, from 0, sorted; null
+    without any), ``kept``, and the row's 16-byte ``text_hash`` and ``host``."""
     text = text_or_empty(text_column)
     keys = F.transform(F.split(text, "\n"), line_key)
     own = docs.select(
         F.col(id_column).alias("doc_id"),
         host_key(host_column).alias("host"),
         F.unhex(F.md5(text)).alias("text_hash"),
-        F.array_distinct(
-            F.transform(keys, lambda k: F.struct(F.unhex(F.md5(k)).alias("key"), F.length(k).alias("len")))
+        F.transform(
+            keys, lambda k: F.struct(F.when(k != "", F.unhex(F.md5(k))).alias("key"), F.length(k).alias("len"))
         ).alias("lines"),
         F.col(text_column).alias("text"),
+        F.monotonically_increasing_id().alias("row"),
     )
     own = text_rules(own).withColumn(
         "chars", F.aggregate("lines", F.lit(0), lambda n, x: n + x["len"])
     )
     own = written(own.drop("text"), "quality")
-    lines = (
-        own.select("host", "text_hash", F.explode("lines").alias("line"))
-        .filter(F.col("line.len") > 0)
-        .select("host", "text_hash", "line.*")
-        .distinct()
-    )
-    over = (
-        lines.groupBy("host", "key")
-        .agg(F.count(F.lit(1)).alias("texts"))
-        .filter(F.col("texts") > max_texts)
-        .select("host", "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
+    document = F.col("text_hash") if by_text else F.col("doc_id")
+    lines = own.select("host", "row", document.alias("document"), F.posexplode("lines").alias("at", "line"))
+    lines = lines.select("host", "row", "document", "at", "line.*").filter("key IS NOT NULL")
+    # Two steps, the first over (host, key, document): no host or line meets in one task.
+    found = lines.select("host", "key", "document").distinct()
+    per_line = found.groupBy("host", "key").agg(F.count(F.lit(1)).alias("c"))
+    # One row per host; the hosts of the lines left are few where the limits bite.
+    per_host = own.select("host", document.alias("document")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+    often = written(per_line.filter(F.col("c") >= min_docs), "often")
+    hosts = often.groupBy("host").agg(F.count(F.lit(1)).alias("c"))
+    limit = hot_limit(own.count())
+    over = spread_join(often, per_host, ["host"], written(hot_keys(hosts, ["host"], limit), "hot_hosts"), F.xxhash64("key"))
+    over = written(over.filter(100 * F.col("c") >= min_percent * F.col("all")).select("host", "key", "c"), "over")
+    hot = hot_keys(over, ["host", "key"], limit)
     removed = (
-        lines.withColumn("salt", F.pmod(F.xxhash64("text_hash"), F.lit(SALTS)).cast("int"))
-        .join(over, ["host", "key", "salt"], "left_semi")
-        .groupBy("host", "text_hash")
-        .agg(F.sum("len").alias("chars_removed"))
+        spread_join(lines, over.drop("c"), ["host", "key"], hot, F.xxhash64("row"))
+        .groupBy("row")
+        .agg(F.sum("len").alias("chars_removed"), F.sort_array(F.collect_list("at")).alias("removed"))
     )
-    out = own.drop("lines").join(removed, ["host", "text_hash"], "left")
+    out = own.drop("lines").join(removed, "row", "left").drop("row")
     gone = F.coalesce("chars_removed", F.lit(0))
-    depleted = (gone > 0) & (F.col("chars") - gone < F.lit(min_left) * F.col("chars"))
-    return out.withColumn("chars_removed", gone).withColumn(
-        "kept", ~F.col("base_failed") & ~depleted
-    )
+    depleted = (gone > 0) & (100 * (F.col("chars") - gone) < min_left * F.col("chars"))
+    return out.withColumn("chars_removed", gone).withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
+def without_lines(text: Column, places: Column) -> Column:
+    """The text without its lines at ``places`` (from 0); as it is where they are null."""
+    lines = F.split(text, "\n")
+    # A set difference by hashing: long texts stay linear.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+    return F.when(places.isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))

@@ -140,26 +140,28 @@ FROM w LEFT JOIN n USING (rid) JOIN (SELECT r.a, min(o.doc_id) AS c FROM r JOIN
 """
 
 _OP3 = r"""
-WITH d AS (SELECT *, coalesce(text, '') AS t, md5(coalesce(text, '')) AS th, coalesce('=' || source, '-') AS host FROM documents),
+WITH d AS (SELECT *, coalesce(text, '') AS t, coalesce('=' || source, '-') AS host FROM documents),
 r AS (SELECT row_number() OVER () AS rid, * FROM d),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM r),
 g AS (SELECT rid, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] AS tri FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 dup AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, tri) > 1),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i+1, i+2]) AS p FROM dup) GROUP BY rid),
-base AS (SELECT w.rid, doc_id, host, th, len(ws) AS n_words,
+base AS (SELECT w.rid, doc_id, len(ws) AS n_words,
    length(t) - length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')) AS word_chars,
    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
    FROM w LEFT JOIN rep USING (rid)),
-l AS (SELECT DISTINCT host, th, translate(regexp_replace(regexp_replace(ln, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
-      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM (SELECT host, th, unnest(string_split(t, chr(10))) AS ln FROM d)),
-f AS (SELECT *, count(*) OVER (PARTITION BY host, k) AS n FROM l),
-x AS (SELECT host, th, sum(length(k)) AS chars, coalesce(sum(length(k)) FILTER (n > 100 AND length(k) > 0), 0) AS gone FROM f GROUP BY 1, 2)
+l AS (SELECT rid, host, doc_id, translate(regexp_replace(regexp_replace(ln, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM (SELECT rid, host, doc_id, unnest(string_split(t, chr(10))) AS ln FROM r)),
+hn AS (SELECT host, count(*) AS docs FROM (SELECT DISTINCT host, doc_id FROM r) GROUP BY host),
+f AS (SELECT host, k FROM (SELECT DISTINCT host, k, doc_id FROM l WHERE length(k) > 0) JOIN hn USING (host) GROUP BY host, k, docs
+      HAVING count(*) >= 10 AND 100 * count(*) >= docs),
+x AS (SELECT rid, sum(length(l.k)) AS chars, coalesce(sum(length(l.k)) FILTER (f.k IS NOT NULL), 0) AS gone FROM l LEFT JOIN f USING (host, k) GROUP BY rid)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
    n_repeat_words::BIGINT AS n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (gone > 0 AND chars - gone < 0.2 * chars) AS kept
-FROM base JOIN x USING (host, th)
+   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (gone > 0 AND 100 * (chars - gone) < 80 * chars) AS kept
+FROM base JOIN x USING (rid)
 """
 
 _OP4 = r"""
