@@ -7,8 +7,8 @@ put together again from the positions that stay.
 Defined cases. Null or empty text: one empty line, whose key is empty and never dropped.
 Documents are told apart by ``id_column`` (a null id is one document more), so repeated rows
 of one id count once. Ties cannot arise: a key is over the threshold or not, in all its
-documents alike. Empty table: empty result. Other columns pass through; internal columns
-start with ``__ld_``.
+documents alike. Empty table: empty result. Other columns pass through; one that has the name of a
+result comes out with ``_own`` put after its name. Internal columns start with ``__ld_``.
 """
 
 from __future__ import annotations
@@ -38,14 +38,20 @@ def _line_hashes(text: str) -> Column:
 
 
 def dedup_lines(
-    docs: DataFrame, min_docs: int = 10, id_column: str = "doc_id", text_column: str = "text", by_text: bool = False
-) -> DataFrame:
-    """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped`` added.
+    docs: DataFrame, min_docs: int = 10, id_column: str = "doc_id", text_column: str = "text", by_text: bool = False,
+    names: tuple[str, str, str] = ("kept_text", "n_lines", "n_dropped"),
+) -> DataFrame:
+    """``docs`` with ``names`` added: the text left, the lines it had and those dropped.
 
     Lines whose key is found in at least ``min_docs`` documents are dropped everywhere.
     With ``by_text``, documents are told apart by their text instead of their id, so that
     exact copies of one document count once and keep their lines.
     """
+    for name in names:
+        free = name
+        while free in docs.columns and name in docs.columns:
+            free += "_own"
+        docs = docs.withColumnRenamed(name, free)
     lines = docs.select(
         row_key(id_column, text_column).alias("__ld_row"),
         (F.unhex(F.md5(text_or_empty(text_column))) if by_text else F.col(id_column)).alias("__ld_id"),
@@ -75,11 +81,11 @@ def dedup_lines(
         joined.withColumn("__ld_lines", whole)
         .withColumns(
             {
-                "kept_text": F.when(F.col("__ld_gone").isNull(), text_or_empty(text_column)).otherwise(
+                names[0]: F.when(F.col("__ld_gone").isNull(), text_or_empty(text_column)).otherwise(
                     F.array_join(F.transform(stay, lambda i: F.col("__ld_lines")[i]), "\n")
                 ),
-                "n_lines": F.size("__ld_lines").cast("long"),
-                "n_dropped": F.coalesce(F.size("__ld_gone"), F.lit(0)).cast("long"),
+                names[1]: F.size("__ld_lines").cast("long"),
+                names[2]: F.coalesce(F.size("__ld_gone"), F.lit(0)).cast("long"),
             }
         )
         .drop("__ld_row", "__ld_gone", "__ld_lines")
