@@ -4,6 +4,11 @@ A rule (action, host, path) fits its host and all subdomains where the url's pat
 with the rule's; the longest rule that fits wins. URLs that a rule decides are the labelled
 examples (block = 1); gradient-boosted trees learn from them and judge the others.
 
+Features are the url's length, depth, shares and counts of characters, entropy, number of
+parameters, and suffix statistics: the share of block, smoothed by the overall share, among
+all labelled urls with the same host suffix, file suffix or first directory. The statistics
+are counted over all labelled urls; only the trees learn from a sample.
+
 Everything is DataFrame functions. Features are binned by quantiles of the sample; equal
 binned rows are summed up; each level of a tree is one aggregation of gradients by (node,
 feature, bin), of at most ``2^depth * features * bins`` rows, from which the driver takes
@@ -12,8 +17,11 @@ from, by a threshold on a hash of the url, so that the same urls are taken every
 ``urls`` are all judged.
 
 Defined cases. Null url or one without ``://``: host and path empty, no rule, judged by its
-features (those of an empty url). Without labelled rows of both kinds the score is the share
-of block (0.5 without any). Repeated rows get the same verdict. Only id and url are read.
+features (those of an empty url). Very long urls: all features are linear, but for the
+entropy, which sorts the characters. Without labelled rows of both kinds the score is the
+share of block (0.5 without any). Ties: of rules of one length the first in alphabetical
+order; a score of exactly 0.5 is block; of equal splits the first feature's lowest. Repeated
+rows get the same verdict. Only id and url are read.
 """
 
 from __future__ import annotations
@@ -23,9 +31,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import ascii_lower, written
+from daybook.llm.common import ascii_lower, hot_keys, hot_limit, spread_join, written
 
-FEATURES = ("length", "host_length", "depth", "digits", "entropy", "params", "labels", "hyphens", "suffix_rate", "file_rate")
+FEATURES = ("length", "host_length", "depth", "digits", "entropy", "params", "labels", "hyphens", "suffix_rate", "file_rate", "directory_rate")
+#: The parts of a url whose share of block is counted.
+SUFFIXES = ("suffix", "file", "directory")
+#: Statistics of at most so many values (some 50 bytes each) are sent; more meet the urls by shuffle.
+SENT_VALUES = 200_000
 _AFTER = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -85,15 +97,34 @@ def lexical(urls: DataFrame, url: str = "url") -> DataFrame:
             "hyphens": F.regexp_count("host", F.lit("-")).cast("double"),
             "suffix": F.regexp_extract("host", r"([^.]*)$", 1),
             "file": F.regexp_extract("path", r"\.([^./]*)$", 1),
+            "directory": F.regexp_extract("path", r"^/([^/]*)", 1),
         }
     )
 
 
-def _with_rates(df: DataFrame, stats: dict[str, DataFrame], prior: float) -> DataFrame:
-    for name, table in stats.items():
-        df = df.join(F.broadcast(table), name, "left")
-        df = df.withColumn(f"{name}_rate", F.coalesce(f"{name}_rate", F.lit(prior)))
-    return df
+def suffix_statistics(labelled: DataFrame) -> DataFrame:
+    """(kind, value, n, pos) over all rows of ``lexical`` urls with ``label``."""
+    values = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in SUFFIXES))
+    each = labelled.select("label", F.explode(values).alias("x")).select("x.*", "label")
+    return written(each.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")), "url_suffixes")
+
+
+def with_rates(df: DataFrame, statistics: DataFrame, prior: float, prior_rows: float, rows: int) -> DataFrame:
+    """``df`` with ``<kind>_rate`` for each kind of suffix; ``prior`` for values never seen.
+    ``rows``: how many rows ``df`` has."""
+    rate = (F.col("pos") + prior * prior_rows) / (F.col("n") + prior_rows)
+    sent = statistics.count() <= SENT_VALUES
+    df = df.withColumn("__at", F.monotonically_increasing_id())
+    for kind in SUFFIXES:
+        own = statistics.filter(F.col("kind") == kind).select(F.col("value").alias(kind), rate.alias(f"{kind}_rate"), "n")
+        if sent:
+            df = df.join(F.broadcast(own.drop("n")), kind, "left")
+        else:
+            counts = df.groupBy(kind).agg(F.count(F.lit(1)).alias("c"))
+            hot = written(hot_keys(counts, [kind], hot_limit(rows)), "hot_values")
+            df = spread_join(df, own.drop("n"), [kind], hot, F.xxhash64("__at"), "left")
+        df = df.withColumn(f"{kind}_rate", F.coalesce(f"{kind}_rate", F.lit(prior)))
+    return df.drop("__at")
 
 
 def _sigmoid(x: Column) -> Column:
@@ -103,7 +134,7 @@ def _sigmoid(x: Column) -> Column:
 class BoostedTrees:
     """Binary gradient boosting on binned features: Newton steps, ``depth`` levels a tree."""
 
-    def __init__(self, trees: int = 8, depth: int = 3, rate: float = 0.4, bins: int = 16, least: float = 1.0) -> None:
+    def __init__(self, trees: int = 12, depth: int = 3, rate: float = 0.4, bins: int = 16, least: float = 1.0) -> None:
         self.trees, self.depth, self.rate, self.bins, self.least = trees, depth, rate, bins, least
         self.cuts: dict[str, list[float]] = {}
         self.base, self.forest = 0.0, []
@@ -202,26 +233,22 @@ class BoostedTrees:
 
 def judge(
     urls: DataFrame, rules: list[tuple[str, str, str]], sample: int = 20_000, prior_rows: float = 10.0,
-    id_column: str = "page_id", url_column: str = "url", model: BoostedTrees | None = None,
+    id_column: str = "page_id", url_column: str = "url", model: BoostedTrees | None = None, keep: Column | None = None,
 ) -> DataFrame:
-    """One row per row of ``urls``: ``page_id, url, host, path, rule, score, verdict``."""
+    """One row per row of ``urls``: ``page_id, url, host, path, rule, score, verdict``.
+    ``keep``: a condition on ``url`` for the labelled rows that may be learnt from."""
     name, action = rule_of(rules)
     known = parts(urls.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url")))
     known = known.withColumns({"rule": name, "action": action})
-    labelled = known.filter("action IS NOT NULL")
-    n = labelled.count()
-    share = F.pmod(F.xxhash64(F.lit(17), "url"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, sample / max(n, 1)))
-    train = lexical(labelled.filter(share)).withColumn("label", (F.col("action") == "block").cast("int"))
-    train = written(train, "url_sample")
-    rows, block = train.agg(F.count(F.lit(1)), F.sum("label")).first()
-    prior = block / rows if rows else 0.5
-    # Suffixes of the sample: never more rows than the sample has.
-    stats = {
-        s: train.groupBy(s)
-        .agg(((F.sum("label") + prior * prior_rows) / (F.count(F.lit(1)) + prior_rows)).alias(f"{s}_rate"))
-        for s in ("suffix", "file")
-    }
-    model = (model or BoostedTrees()).fit(_with_rates(train, stats, prior), "label")
-    scored = model.binned(_with_rates(lexical(known), stats, prior)).withColumn("score", _sigmoid(model.margin()))
+    labelled = known.filter("action IS NOT NULL").withColumn("label", (F.col("action") == "block").cast("int"))
+    labelled = labelled.filter(keep) if keep is not None else labelled
+    statistics = suffix_statistics(lexical(labelled))
+    n, block = statistics.filter(F.col("kind") == SUFFIXES[0]).agg(F.sum("n"), F.sum("pos")).first()
+    prior = block / n if n else 0.5
+    share = F.pmod(F.xxhash64(F.lit(17), "url"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, sample / max(n or 0, 1)))
+    train = with_rates(lexical(labelled.filter(share)), statistics, prior, prior_rows, sample)
+    model = (model or BoostedTrees()).fit(written(train, "url_sample"), "label")
+    full = with_rates(lexical(known), statistics, prior, prior_rows, n or 0)
+    scored = model.binned(full).withColumn("score", _sigmoid(model.margin()))
     verdict = F.coalesce("action", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return scored.withColumn("verdict", verdict).select("page_id", "url", "host", "path", "rule", "score", "verdict")
