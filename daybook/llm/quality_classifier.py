@@ -10,9 +10,11 @@ The softmax reads the average linearly, so each bucket's vector folds into one n
 text's score is the mean of its buckets' numbers; workers add them up word by word.
 
 Defined cases. Null or empty text: no features, the score of the bias alone. Repeated labels
-of one id: rows whose labels agree count once, ids with both labels are left out. Without
-labels of both kinds the score is the share of label 1 (0.5 without any). Empty table: empty
-result. Very long texts are read whole. Only id, text and the label are read.
+of one id: rows whose labels agree count once, ids with both labels are left out. Of several
+texts under one id the least is learnt from, so the sample bounds rows; all are scored.
+Without labels of both kinds the score is the share of label 1 (0.5 without any). Ties: a
+score of exactly the threshold is predicted 1. Repeated rows get the same score. Empty table:
+empty result. Very long texts are read whole. Only id, text and the label are read.
 """
 
 from __future__ import annotations
@@ -99,18 +101,23 @@ def features(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select(F.col("label").cast("int"), "text").mapInArrow(run, "label int, ids binary, counts binary")
 
 
+Examples = list[tuple[int, np.ndarray, np.ndarray]]
+
+
 def fit_sgd(
-    examples: list[tuple[int, np.ndarray, np.ndarray]], buckets: int, dim: int = 16, epochs: int = 8, rate: float = 0.5, seed: int = 7
-) -> tuple[np.ndarray, float]:
+    examples: Examples, buckets: int, dim: int = 16, epochs: int = 8, rate: float = 0.5, seed: int = 7
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Plain stochastic gradient descent, one document a step, with a falling rate; labels
-    weigh as their squared shares would have to be equal. Returns (bucket weights, bias)."""
+    weigh as their squared shares would have to be equal. Returns the buckets' vectors, the
+    softmax's two rows and its biases."""
+    vectors, out, bias = np.zeros((buckets, dim), np.float32), np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
     share = sum(e[0] for e in examples) / len(examples) if examples else 0.5
     if share in (0.0, 1.0) or not examples:
         safe = min(max(share, 1e-3), 1 - 1e-3)
-        return np.zeros(buckets), math.log(safe / (1 - safe))
+        bias[1] = math.log(safe / (1 - safe))
+        return vectors, out, bias
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
-    out, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
     weight = (math.sqrt(0.5 / (1 - share)), math.sqrt(0.5 / share))
     steps, total = 0, epochs * len(examples)
     for _ in range(epochs):
@@ -129,8 +136,12 @@ def fit_sgd(
                 vectors[ids] -= np.outer(counts / n, p @ out) * min(32.0, len(ids) ** 0.5)
             out -= np.outer(p, hidden)
             bias -= p * 0.1
-    margin = out[1] - out[0]
-    return (vectors @ margin).astype(np.float64), float(bias[1] - bias[0])
+    return vectors, out, bias
+
+
+def folded(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, float]:
+    """(what each bucket adds to the margin, the margin's bias)."""
+    return (vectors @ (out[1] - out[0])).astype(np.float64), float(bias[1] - bias[0])
 
 
 def train(
@@ -146,10 +157,11 @@ def train(
     # Bounded: about ``sample`` ids and labels.
     chosen = F.broadcast(known.filter(chance))
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).join(chosen, "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
     rows = features(texts, buckets).toLocalIterator()
     examples = [(r.label, np.frombuffer(r.ids, np.int32), np.frombuffer(r["counts"], np.float32)) for r in rows]
     examples.sort(key=lambda e: (e[0], len(e[1]), e[1].tobytes()))
-    weight, bias = fit_sgd(examples, buckets)
+    weight, bias = folded(*fit_sgd(examples, buckets))
     return Model(weight, bias, uuid.uuid4().hex)
 
 
