@@ -7,7 +7,8 @@ a probe fails. Probabilities interpolate the two orders, with one added to word
 The filter is blocked by hash: n-grams are counted and entered group by group, each group in
 a block of bits of its own, so no worker holds the whole. Its size follows the tokens
 learnt from (``bits_per_token``) without bound, so the rate of false positives does not grow
-with the corpus. A filter of up to ``most_bits`` is broadcast. A larger one stays in blocks:
+with the corpus: n-grams that differ are at most two a token, and fewer a token as a corpus
+grows. ``filled`` gives the share of bits set, whose ``hashes``-th power is that rate. A filter of up to ``most_bits`` is broadcast. A larger one stays in blocks:
 the distinct n-grams of each lot of texts go to their groups' blocks, are probed there, and
 their counts go back to the lot. Both ways give the same scores.
 
@@ -16,7 +17,8 @@ the most frequent words, at most ``head`` of them, are broadcast; the other word
 document are joined with the table of counts.
 
 Defined cases. Null or empty text: one token, the end. Held out: crc32 of the id's digits
-mod 7 is 2; a null id is learnt from. Repeated rows are documents of their own. An empty
+mod 7 is 2; a null id is learnt from. Repeated rows are documents of their own. Ties: words of
+one count are alike, and whether a word is among the frequent ones changes nothing. An empty
 corpus has N = V = 0, and every word is unknown. Very long texts are read whole. Only id and
 text are read.
 """
@@ -157,6 +159,10 @@ class BloomModel:
             step += 1
         return q
 
+    def filled(self) -> float:
+        """The share of bits that are set."""
+        return float(np.bitwise_count(self.blocks).sum()) / (8 * self.blocks.size)
+
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """The middle of each quantum: 0, 1, then 1.5 * 2^(q-1)."""
         return _middles(self.quantised(keys))
