@@ -179,17 +179,44 @@ def _rules(text):
     return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(ls) - len(set(ls)), len(inside), n < 50 or 100 * len(inside) > 50 * n
 
 
-def test_quality_rules(docs):
-    got = quality_rules.judge(docs, max_texts=5).collect()
-    assert bag((r.doc_id, *(r[c] for c in quality_rules.COUNTS), r.base_failed) for r in got) == bag((r[0], *_rules(r[1])) for r in ROWS)
-    key = lambda x: low(x.strip(" \t\n\x0b\x0c\r"))
-    texts = {(r[3], r[1] or "") for r in ROWS}
-    count = collections.Counter((h, k) for h, t in texts for k in {key(x) for x in t.split("\n")} if k)
-    for r in ROWS:
-        lines = {key(x) for x in (r[1] or "").split("\n")}
-        gone = sum(len(k) for k in lines if count[r[3], k] > 5)
-        depleted = gone > 0 and sum(map(len, lines)) - gone < 0.2 * sum(map(len, lines))
-        assert {x.kept for x in got if x.doc_id == r[0] and x.n_words == len(words(r[1]))} == {not _rules(r[1])[-1] and not depleted}
+def _key(line):
+    return low(line.strip(" \t\n\x0b\x0c\r"))
+
+
+def _verdicts(rows, min_docs, percent, left, by_text=False):
+    """(kept, text without the lines over the limits) of each row (id, text, host)."""
+    docs, carry = collections.defaultdict(set), collections.defaultdict(set)
+    for d, t, host in rows:
+        docs[host].add((t or "") if by_text else d)
+        for x in (t or "").split("\n"):
+            carry[host, _key(x)].add((t or "") if by_text else d)
+    out = []
+    for _, t, host in rows:
+        lines = (t or "").split("\n")
+        over = [bool(_key(x)) and len(carry[host, _key(x)]) >= min_docs and 100 * len(carry[host, _key(x)]) >= percent * len(docs[host]) for x in lines]
+        chars, gone = sum(len(_key(x)) for x in lines), sum(len(_key(x)) for x, o in zip(lines, over) if o)
+        kept = not _rules(t)[-1] and not (gone and 100 * (chars - gone) < left * chars)
+        out.append((kept, "\n".join(x for x, o in zip(lines, over) if not o) if any(over) else t))
+    return out
+
+
+@pytest.mark.parametrize("min_docs, percent, left, by_text", [(10, 1, 80, False), (10, 40, 80, False), (5, 1, 97, False), (2, 1, 80, True)])
+def test_quality_rules(docs, min_docs, percent, left, by_text):
+    out = quality_rules.judge(docs, min_docs, percent, left, by_text=by_text)
+    text = quality_rules.without_lines(F.coalesce(F.col("text"), F.lit("")), F.col("removed"))
+    hashed = docs.select("text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_hash")).distinct()
+    got = out.join(hashed, "text_hash").select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", text.alias("left")).collect()
+    plain = _verdicts([(r[0], r[1], r[3]) for r in ROWS], min_docs, percent, left, by_text)
+    null_and_empty = {"": 2, None: 2}  # both have the hash of no bytes and meet twice above
+    want = bag((r[0], *_rules(r[1]), k, t or "") for r, (k, t) in zip(ROWS, plain) for _ in range(null_and_empty.get(r[1], 1)))
+    assert bag(got) == want
+
+
+def test_repeated_lines_weigh_as_often_as_they_stand(spark):
+    rows = [(i, "\n".join([*[f"own{i}x{j} " * 10 for j in range(6)], *["shared words here"] * 6]), "h") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = quality_rules.judge(docs).select("chars", "chars_removed", "kept").distinct().collect()
+    assert {r.chars_removed for r in got} == {6 * len("shared words here")} and not any(r.kept for r in got)
 
 
 def test_line_dedup(docs):
@@ -203,6 +230,10 @@ def test_line_dedup(docs):
     out = line_dedup.dedup_lines(docs, 10)
     assert bag((r.doc_id, r.kept_text, r.n_lines) for r in out.collect()) == want
     assert out.columns[: len(docs.columns)] == docs.columns and "common line" in gone
+    clash = line_dedup.dedup_lines(docs.select("doc_id", "text", F.lit("own").alias("n_lines"), F.lit(1).alias("n_lines_own")), 10)
+    assert clash.columns == ["doc_id", "text", "n_lines_own_own", "n_lines_own", "kept_text", "n_lines", "n_dropped"]
+    assert bag((r.doc_id, r.kept_text, r.n_lines) for r in clash.collect()) == want
+    assert clash.select("n_lines_own_own").distinct().first()[0] == "own"
     copies = line_dedup.dedup_lines(docs.filter("doc_id = 4 OR doc_id >= 350 AND doc_id < 360"), 2, by_text=True)
     assert copies.filter("n_dropped > 0").count() == 0
 
@@ -237,28 +268,108 @@ def test_rebalancing_moves_few():
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
-def test_url_filter(spark):
+def _urls():
     rng = random.Random(2)
-    urls = [f"https://{rng.choice(['a', 'b-c'])}.example.{rng.choice(['com', 'org', 'net'])}/{rng.choice(['en', 'es', 'fr', 'de'])}/{rng.randrange(999)}" for _ in range(150)]
+    urls = [
+        f"https://{rng.choice(['a', 'b-c'])}.example.{rng.choice(['com', 'org', 'net'])}/{rng.choice(['en', 'es', 'fr', 'de'])}/"
+        f"{rng.randrange(999)}{rng.choice(['', '/', '.html', '?a=1&b=é', '#x'])}"
+        for _ in range(300)
+    ]
     urls += [None, "", "no scheme", "HTTP://X.ORG", "http://X.Org?q=a://b/c", "http://notexample.org/es/1", "http://example.org/es/1#x", "x://com/de/"]
-    df = spark.createDataFrame([(i, u, "z", "y") for i, u in enumerate(urls)], "page_id bigint, url string, host string, label string")
-    got = {r.page_id: r for r in url_filter.judge(df, RULES, model=url_filter.BoostedTrees(trees=3)).collect()}
+    return urls + ["http://example.com/de/" + "long/" * 3000, "http://example.com/fr/1", "http://example.com/fr/1"]
+
+
+def _rule(u):
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
+    host, path = (low(m[1]), m[2]) if m else ("", "")
+    fits = [r for r in RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+    return host, path, max(fits, key=lambda r: len(r[1] + r[2]), default=None)
+
+
+def _lexical(u):
+    """Features without statistics, and the three suffixes, in plain Python."""
+    u, (host, path, _) = u or "", _rule(u)
+    query = re.search(r"(?s)\?([^#]*)", u)
+    times = collections.Counter(u)
+    entropy = math.log2(len(u)) - sum(n * math.log2(n) for n in times.values()) / len(u) if u else 0.0
+    own = [len(u), len(host), len(re.findall("/[^/]", path)), len(re.findall("[0-9]", u)) / max(len(u), 1), entropy]
+    own += [len([x for x in query[1].split("&") if x]) if query else 0, len([x for x in host.split(".") if x]), host.count("-")]
+    file, first = re.search(r"\.([^./]*)$", path), re.match("/([^/]*)", path)
+    return own, (re.search(r"([^.]*)$", host)[1], file[1] if file else "", first[1] if first else "")
+
+
+def _grown(binned, y, base, trees, depth, rate, least):
+    """Margins of all labelled rows after boosting, in plain Python."""
+    margin = [base] * len(y)
+
+    def grow(rows, level):
+        g = {i: y[i] - 1 / (1 + math.exp(-margin[i])) for i in rows}
+        h = {i: (y[i] - g[i]) * (1 - y[i] + g[i]) for i in rows}
+        total, weight = sum(g.values()), sum(h.values())
+        score = lambda a, b: a * a / (b + least)
+        best, where = 1e-6, None
+        for f in range(len(binned[0])) if level < depth else ():
+            lg = lh = 0.0
+            for v in sorted({binned[i][f] for i in rows}):
+                mine = [i for i in rows if binned[i][f] == v]
+                lg, lh = lg + sum(g[i] for i in mine), lh + sum(h[i] for i in mine)
+                gain = score(lg, lh) + score(total - lg, weight - lh) - score(total, weight)
+                if gain > best + 1e-9 and min(lh, weight - lh) > 1e-9:
+                    best, where = gain, (f, v)
+        if where is None:
+            return {i: rate * total / (weight + least) for i in rows}
+        left = [i for i in rows if binned[i][where[0]] <= where[1]]
+        right = [i for i in rows if binned[i][where[0]] > where[1]]
+        return grow(left, level + 1) | grow(right, level + 1)
+
+    for _ in range(trees):
+        step = grow(list(range(len(y))), 0)
+        margin = [m + step[i] for i, m in enumerate(margin)]
+    return margin
+
+
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_url_filter(spark, monkeypatch, sent):
+    """Rules, features, statistics, trees and scores beside plain Python."""
+    monkeypatch.setattr(url_filter, "SENT_VALUES", sent)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    urls = _urls()
+    df = spark.createDataFrame([(i, u, "z", "y", "q") for i, u in enumerate(urls)], "page_id bigint, url string, host string, label string, n string")
+    model = url_filter.BoostedTrees(trees=3)
+    got = {r.page_id: r for r in url_filter.judge(df, RULES, model=model).collect()}
+    rules, own = [_rule(u) for u in urls], [_lexical(u) for u in urls]
+    labelled = [i for i, r in enumerate(rules) if r[2]]
+    y = [int(rules[i][2][0] == "block") for i in labelled]
+    prior = sum(y) / len(y)
+    counts = [collections.Counter(own[i][1][k] for i in labelled) for k in range(3)]
+    block = [collections.Counter(own[i][1][k] for i, b in zip(labelled, y) if b) for k in range(3)]
+    features = [x + [(block[k][v] + prior * 10) / (counts[k][v] + 10) for k, v in enumerate(values)] for x, values in own]
+    binned = [[sum(v >= c for c in model.cuts[f]) for f, v in zip(url_filter.FEATURES, row, strict=True)] for row in features]
+
+    def leaf(node, row):
+        while "value" not in node:
+            node = node["left"] if row[url_filter.FEATURES.index(node["feature"])] <= node["bin"] else node["right"]
+        return node["value"]
+
     for i, u in enumerate(urls):
-        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u or "")
-        host, path = (low(m[1]), m[2]) if m else ("", "")
-        fits = [r for r in RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
-        best = max(fits, key=lambda r: len(r[1] + r[2]), default=None)
+        host, path, best = rules[i]
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, best[1] + best[2] if best else None)
+        margin = model.base + sum(leaf(t, binned[i]) for t in model.forest)
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-9), u
         assert got[i].verdict == (best[0] if best else "block" if got[i].score >= 0.5 else "allow")
+    assert model.base == pytest.approx(math.log(prior / (1 - prior))) and len(model.forest) == 3
+    want = _grown([binned[i] for i in labelled], y, model.base, 3, model.depth, model.rate, model.least)
+    assert [got[i].score for i in labelled] == pytest.approx([1 / (1 + math.exp(-m)) for m in want], abs=1e-6)
 
 
-def test_trees_learn(spark):
-    urls = [(i, f"http://{'spam-' * (i % 2)}h{i}.net/{i}{'?a=1&b=2' * (i % 2)}") for i in range(200)]
-    df = url_filter.lexical(url_filter.parts(spark.createDataFrame(urls, "page_id bigint, url string"))).withColumns(
-        {"suffix_rate": F.lit(0.5), "file_rate": F.lit(0.5), "y": (F.col("page_id") % 2).cast("int")}
-    )
-    model = url_filter.BoostedTrees(trees=2).fit(df, "y")
-    assert model.binned(df).filter((model.margin() > 0) != (F.col("y") == 1)).count() == 0
+def test_trees_learn_urls_left_out(spark):
+    """Of urls whose rule was hidden, nearly all get their rule's verdict."""
+    urls = [u for u in _urls() if u] * 2
+    df = spark.createDataFrame([(i, f"{u}&{i}" if "?" in u else u) for i, u in enumerate(urls)], "page_id bigint, url string")
+    hidden = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
+    got = url_filter.judge(df, RULES, keep=~hidden).filter(hidden).filter("rule IS NOT NULL").select("url", "score").collect()
+    right = [(r.score >= 0.5) == (_rule(r.url)[2][0] == "block") for r in got]
+    assert len(right) > 40 and sum(right) > 0.9 * len(right)
 
 
 # --- 7, 9 --------------------------------------------------------------------------------
@@ -282,9 +393,44 @@ def test_quality_classifier(spark):
     assert one_sided.weight.sum() == 0
 
 
+def test_quality_scores_are_averages_under_a_softmax():
+    """The score beside the mean of all words' and n-grams' vectors and the softmax over it."""
+    rng = random.Random(8)
+    buckets, words_ = 512, ["river", "hünd", "$$$", "a", "longer-word", "x"]
+    texts = [" ".join(rng.choices(words_[: 3 + i % 4], k=30)) for i in range(40)] + [None, "", "  \n ", "never seen before"]
+
+    def every(text):
+        return [b for w in (text or "").split() for b in quality_classifier.buckets_of(w, buckets)]
+
+    examples = []
+    for i, t in enumerate(texts[:40]):
+        n = collections.Counter(every(t))
+        examples.append((i % 4 // 2, np.fromiter(n, np.int32, len(n)), np.fromiter(n.values(), np.float32, len(n))))
+    vectors, out, bias = quality_classifier.fit_sgd(examples, buckets)
+    model = quality_classifier.Model(*quality_classifier.folded(vectors, out, bias), "a test")
+    for t, margin in zip(texts, model.margins(texts), strict=True):
+        b = every(t)
+        z = out.astype(float) @ (vectors[b].astype(float).mean(axis=0) if b else np.zeros(16)) + bias
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert 1 / (1 + math.exp(-margin)) == pytest.approx(p[1], abs=1e-5)
+    assert quality_classifier.buckets_of("né", 97) == [zlib.crc32(x) % 97 for x in ["w<né>".encode(), *(b"<n\xc3\xa9>"[i : i + n] for n in (3, 4) for i in range(6 - n))]]
+
+
+def test_one_text_is_learnt_for_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    seen = []
+    real, quality_classifier.fit_sgd = quality_classifier.fit_sgd, lambda examples, buckets: seen.extend(examples) or real(examples, buckets)
+    try:
+        quality_classifier.train(docs, labels, buckets=64)
+    finally:
+        quality_classifier.fit_sgd = real
+    assert [e[0] for e in seen] == [0, 1]
+
+
 @pytest.mark.parametrize("head", [200_000, 5])
 def test_language_model(spark, docs, head):
-    rows = language_model.score(docs, head=head, bits_per_token=40.0).collect()
+    rows = language_model.score(docs, head=head, bits_per_token=400.0).collect()
     toks = lambda t: [*words(low(t or "")), None]
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     count, pairs = collections.Counter(), collections.Counter()
@@ -299,9 +445,44 @@ def test_language_model(spark, docs, head):
         base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t)
         want[r[0], len(t), round(base, 6)] = (held(r[0]), sum(count[w] > 0 for w in t))
     assert len(rows) == len(ROWS)
+    middle = lambda c: c if c < 2 else 1.5 * 2 ** int(math.log2(c))
+
+    def exact(t):
+        """The model's formula with counts kept whole until they are quantised."""
+        before, total = None, 0.0
+        for w in t:
+            follows = min(1.0, middle(pairs[before, w]) / max(middle(count[before]), 1.0))
+            total += math.log10(0.7 * follows + 0.3 * (middle(count[w]) + 1) / (n + v + 1))
+            before = w
+        return total
+
+    scores = collections.defaultdict(list)
+    for r in ROWS:
+        t = toks(r[1])
+        base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t)
+        scores[r[0], len(t), round(base, 6)].append(exact(t))
     for r in rows:
-        assert want[r.doc_id, r.n_tokens, round(r.base_score, 6)] == (r.held_out, r.n_known) and r.train_tokens == n
-        assert r.score < 0
+        key = r.doc_id, r.n_tokens, round(r.base_score, 6)
+        assert want[key] == (r.held_out, r.n_known) and r.train_tokens == n
+        assert min(abs(r.score - x) for x in scores[key]) < 1e-6
+
+
+def test_false_positives_of_the_production_filter():
+    """At six bits a token and two different n-grams a token, the rate is the fill's power."""
+    n, model = 20_000, language_model.BloomModel(None, *language_model.filter_size(20_000, 6.0)[1:], 4, 20_000, 1)
+    groups, bits = language_model.filter_size(n, 6.0)
+    rng = np.random.default_rng(3)
+    for per_token in (0.7, 2.0):
+        keys = rng.integers(0, 2**64 - 1, int(n * per_token), dtype=np.uint64)
+        full = np.zeros((groups, bits), bool)
+        own = language_model._group(keys, groups).astype(int)
+        for at in language_model._places(keys, 1, 4, bits):
+            full[own, at.astype(int)] = True
+        model.blocks = np.packbits(full, axis=1, bitorder="little")
+        assert (model.quantised(keys) >= 1).all()
+        other = rng.integers(0, 2**64 - 1, 20_000, dtype=np.uint64)
+        assert (model.quantised(other) > 0).mean() == pytest.approx(model.filled() ** 4, abs=0.02)
+    assert language_model.filter_size(10**12, 6.0)[0] * language_model.filter_size(10**12, 6.0)[1] > 5.9e12
 
 
 def test_filter_beyond_the_broadcast(spark, docs):
@@ -326,7 +507,21 @@ def test_filter_reads_quantised_counts():
 # --- 8 -----------------------------------------------------------------------------------
 
 
+def _groups(rows, size, percent):
+    """A number for the group of each row of words; None for rows without words."""
+    return _joined(rows, size, percent)[1]
+
+
 def _components(rows, size, percent):
+    sets, group = _joined(rows, size, percent)
+    least = {}
+    for g, (d, _) in zip(group, rows):
+        if d is not None:
+            least[g] = min(least.get(g, d), d)
+    return bag((d, len(s), least.get(g) if s else d) for s, g, (d, _) in zip(sets, group, rows))
+
+
+def _joined(rows, size, percent):
     sets = []
     for d, t in rows:
         w = words(low(t or ""))
@@ -344,21 +539,53 @@ def _components(rows, size, percent):
             both = len(sets[i] & sets[j])
             if sets[i] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 label[find(i)] = find(j)
-    least = {}
-    for i, (d, _) in enumerate(rows):
-        if d is not None:
-            least[find(i)] = min(least.get(find(i), d), d)
-    return bag((d, len(sets[i]), least.get(find(i)) if sets[i] else d) for i, (d, _) in enumerate(rows))
+    return sets, [find(i) if s else None for i, s in enumerate(sets)]
 
 
 @pytest.mark.parametrize("size, small", [(4, 24), (5, 1)])
 def test_near_duplicates(docs, monkeypatch, size, small):
     monkeypatch.setattr(near_dedup, "SMALL_LIST", small)
+    if small == 1:  # all keys of three rows and more are hot
+        monkeypatch.setattr(common, "HOT_ROWS", 2)
     got = near_dedup.near_duplicates(docs, size=size, width=4).collect()
     assert bag((r.doc_id, r.n_shingles, r.component_id) for r in got) == _components([r[:2] for r in ROWS], size, 80)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_spread_join(spark):
+    left = spark.createDataFrame([(i % 3 or None, i) for i in range(40)] + [(9, 99)], "k int, v int")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (7, "c")], "k int, w string")
+    hot = common.hot_keys(left.groupBy("k").agg(F.count(F.lit(1)).alias("c")), ["k"], 4)
+    for how in ("inner", "left"):
+        got = common.spread_join(left, right, ["k"], hot, F.xxhash64("v"), how)
+        assert bag(got.select("k", "v", "w").collect()) == bag(left.join(right, "k", how).select("k", "v", "w").collect())
+
+
+def test_a_pair_at_exactly_the_threshold(spark):
+    """Eight of ten shingles in common, by sketches, blocks and full sets."""
+    rng = random.Random(9)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(450)]
+        rows.append((10 * g, " ".join(base)))
+        # One word changed in the middle costs 5 shingles of each; 446 shingles, 10 words: 396 of 496.
+        odd = list(base)
+        for at in rng.sample(range(10, 440, 6), 10 if g % 2 else 9):
+            odd[at] = f"g{g}new{at}"
+        rows.append((10 * g + 1, " ".join(odd)))
+    rows += [(90, "a b c d e f g h i j k l m"), (91, "a b c d e f g h i j k l z"), (92, "p q r s t u v w x"), (93, "p q r s t u v w")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = near_dedup.near_duplicates(docs, size=5, percent=80).collect()
+    assert bag((r.doc_id, r.n_shingles, r.component_id) for r in got) == _components(rows, 5, 80)
+    assert {r.component_id for r in got if r.doc_id in (92, 93)} == {92}  # 4 of 5
+
+
+def test_equal_halves_never_lower_an_overlap():
+    values, sizes = np.array([5, 5, 6, 5, 6, 7, 5, 5, 9]), np.array([3, 3, 3])
+    got = near_dedup.overlaps(values, sizes, np.array([0]), np.array([1, 2]), step=1)
+    assert got.tolist() == [[3.0, 4.0]]  # row 0 has 5 twice: at least 2 and 2 in truth
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 130)]
@@ -366,7 +593,7 @@ def test_components(spark):
     for _ in range(99):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
-    got = {r.node: r.label for r in near_dedup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r.node: r.label for r in near_dedup.components(spark.createDataFrame(edges, "a bigint, b bigint"), limit=2).collect()}
     assert all(got.get(x, x) == least for x, least in label.items())
 
 
@@ -429,32 +656,79 @@ def test_near_stage_keeps_one_of_each_component(spark):
     assert got == bag([*want, first])
 
 
+def _stage(name, rows, items):
+    """What a stage leaves of rows (id, text, host), in plain Python."""
+    if name == "quality_rules":
+        plain = _verdicts(rows, 10, 1, 80, by_text=True)
+        return [(d, t, h) for (d, _, h), (kept, t) in zip(rows, plain) if kept]
+    if name == "line_dedup":
+        found = collections.defaultdict(set)
+        for _, t, _ in rows:
+            for x in (t or "").split("\n"):
+                found[_key(x)].add(t or "")
+        common_line = lambda x: _key(x) and len(found[_key(x)]) >= 10
+        return [(d, "\n".join(x for x in t.split("\n") if not common_line(x)) if t else t, h) for d, t, h in rows]
+    if name == "near_dedup":
+        group = _groups([r[:2] for r in rows], 5, 80)
+        first, out = {}, []
+        for g, r in zip(group, rows):
+            order = (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest())
+            first[g] = min(first.get(g, (order, r)), (order, r), key=lambda x: x[0])
+        for g, r in zip(group, rows):
+            if g is None or first.get(g, (0, 0))[1] == r:
+                out.append(r)
+                first.pop(g, None) if g is not None else None
+        return out
+    if name == "decontamination":
+        return [r for r in rows if not _hits(r[1], items)[1]]
+    return rows
+
+
+def _same_stage(spark, name, stage, docs, sf, items):
+    before = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    out = common.written(stage(spark, docs, sf), f"test_{name}")
+    want = _stage(name, before, items)
+    if name == "packing":
+        assert bag((r.doc_id,) for r in out.filter("start = 0").collect()) == bag((d,) for d, _, _ in want)
+        return out
+    assert out.columns == docs.columns and out.schema == docs.schema
+    assert bag((r.doc_id, r.text, r.source) for r in out.collect()) == bag(want)
+    if "n_chars" in out.columns:
+        changed = {(r.doc_id, r.n_chars) for r in out.filter("n_chars <> length(text)").collect()}
+        assert changed <= {(r.doc_id, r.n_chars) for r in docs.collect()}
+    return out
+
+
+@pytest.mark.parametrize("sent", [500_000, -1])
+def test_stages_on_awkward_rows(spark, docs, tokenizer, tmp_path, monkeypatch, sent):
+    """Each stage on null, empty and very long texts, null and repeated ids, repeated rows and
+    clashing names; keys sent to the documents, or met by shuffle with every key hot."""
+    monkeypatch.setattr(corpus_pipeline, "SENT", sent)
+    if sent < 0:
+        monkeypatch.setattr(common, "HOT_ROWS", 1)
+    spark.createDataFrame(ITEMS, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    known = [i for i in ITEMS if i[0] is not None]
+    for name, stage in corpus_pipeline.STAGES:
+        _same_stage(spark, name, stage, docs, str(tmp_path), known)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tokenizer):
     """Each stage beside a plain version of what it keeps."""
     sf = "/root/testdata/sf0.001"
     docs = common.read_table(spark, sf, "documents")
     bench = [(r.item_id, r.text) for r in common.read_table(spark, sf, "benchmark").collect()]
     for name, stage in corpus_pipeline.STAGES:
-        before = {r.doc_id: r.text for r in docs.collect()}
-        out = common.written(stage(spark, docs, sf), f"test_{name}")
-        after = {r.doc_id: r.text for r in out.collect()} if name != "packing" else {r.doc_id for r in out.collect()}
-        if name == "quality_rules":  # far fewer than 100 texts a host: only base rules reject
-            assert set(after) == {d for d, t in before.items() if not _rules(t)[-1]}
-        elif name == "line_dedup":
-            keys = collections.defaultdict(set)
-            strip = lambda x: low(x.strip(" \t\n\x0b\x0c\r"))
-            for t in before.values():
-                for x in (t or "").split("\n"):
-                    keys[strip(x)].add(t)
-            assert after == {d: "\n".join(x for x in t.split("\n") if not strip(x) or len(keys[strip(x)]) < 10) for d, t in before.items()}
-        elif name == "near_dedup":
-            rows = sorted(before.items())
-            assert set(after) == {d for d, _, c in _components(rows, 5, 80) if d == c}
-        elif name == "decontamination":
-            assert set(after) == {d for d, t in before.items() if not _hits(t, bench)[1]}
-        else:
-            assert after == set(before)
-        if name != "packing":
-            assert out.columns == docs.columns
-        docs = out
+        docs = _same_stage(spark, name, stage, docs, sf, bench)
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_scratch_folder_off_one_machine():
+    """On a cluster the shared folder must be named."""
+    from types import SimpleNamespace as Fake
+
+    conf = Fake(get=lambda key, default: None)
+    session = lambda master: Fake(conf=conf, sparkContext=Fake(master=master, getCheckpointDir=lambda: None))
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://https://x"):
+        with pytest.raises(ValueError):
+            common.shared_dir(session(master))
