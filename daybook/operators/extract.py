@@ -20,11 +20,20 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(_DIALECT + pattern), F.lit(group))
 
 
+#: What a generator gives; ``rule`` says where the name comes from, and so what describes it.
+CANDIDATE = "struct<type:string,name:string,status:string,seed:string,rule:string>"
+#: Fixed value: how a technical term is described.
+TECH_SUMMARY = "技术栈关键词: "
+
+
 def _candidates(names: Column, kind: str, status: str | None = None, seed: str = "") -> Column:
     return F.transform(
         names,
-        lambda n: F.struct(F.lit(kind).alias("type"), n.alias("name"), F.lit(status).cast("string").alias("status"), F.concat(F.lit(seed), n).alias("seed")),
-    )
+        lambda n: F.struct(
+            F.lit(kind).alias("type"), n.alias("name"), F.lit(status).cast("string").alias("status"), F.concat(F.lit(seed), n).alias("seed"),
+            F.lit("term" if kind == "tech" else "pattern").alias("rule"),
+        ),
+    )
 
 
 def _compacted(names: Column, most: int = 40) -> Column:
@@ -131,11 +140,18 @@ def _generated(text: Column, kind: Column) -> Column:
         .when(kind == "preference", preferences(text))
         .when(kind == "risk", risks(text))
         .when(kind == "task", tasks(text))
-        .otherwise(F.array().cast("array<struct<type:string,name:string,status:string,seed:string>>"))
+        .otherwise(F.array().cast(f"array<{CANDIDATE}>"))
     )
     return F.concat(own, projects(text), tech(text))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns``, by exploding an array of one: the optimizer would else copy a
+    long expression into each place that reads its column."""
+    one = F.struct(*(c.alias(n) for n, c in columns.items()))
+    return df.select("*", F.explode(F.array(one)).alias("__once")).select("*", "__once.*").drop("__once")
+
+
 def mentions(items: DataFrame) -> DataFrame:
     """One row per item and entity; an id's first mention in a file has ``nth`` = 1.
 
@@ -153,23 +169,25 @@ def mentions(items: DataFrame) -> DataFrame:
     rows = items.filter(~F.col("skip_extraction") & F.col("text").isNotNull() & ~is_garbage_text(text)).withColumn(
         "kind", F.coalesce(tag_kind, section_kind, F.lit("fact"))
     )
-    # Columns one after the other: each is computed once however often it is read.
-    rows = rows.withColumn("hit", _first_clause(text, kind)).withColumn("hit", strip(F.coalesce("hit", F.split(text, "[。；，]", 2)[0])))
-    rows = rows.withColumn("own", compact_name(F.col("hit"), 30, stripped=True)).withColumn("every", _generated(text, kind))
+    rows = _once(rows, hit=_first_clause(text, kind))
+    rows = _once(rows, hit_clause=strip(F.coalesce("hit", F.split(text, "[。；，]", 2)[0])))
+    rows = _once(rows, own=compact_name(F.col("hit_clause"), 30, stripped=True), every=_generated(text, kind))
     bare = strip(text)
     repeats = F.col("tag").isNull() & (F.length("own") >= 4) & bare.startswith(F.col("own")) & (F.length("own") > F.length(bare) * 0.8)
     whole = F.struct(
-        kind.alias("type"), F.col("own").alias("name"), F.when(kind == "task", status).alias("status"), F.col("own").alias("seed")
-    )
-    last = F.when(repeats | ((kind == "tech") & ~_term_like(F.col("own"))), F.array().cast("array<struct<type:string,name:string,status:string,seed:string>>")).otherwise(F.array(whole))
-    rows = rows.withColumn("every", F.concat("every", last))
+        kind.alias("type"), F.col("own").alias("name"), F.when(kind == "task", status).alias("status"), F.col("own").alias("seed"),
+        F.lit("item").alias("rule"),
+    )
+    last = F.when(repeats | ((kind == "tech") & ~_term_like(F.col("own"))), F.array().cast(f"array<{CANDIDATE}>")).otherwise(F.array(whole))
     out = rows.select(
         "source", "date", "file_name", "section_ord", "section_title", "item_ord", "text",
-        F.concat_ws(":", "file_name", "line_start", "line_end").alias("source_line"), F.posexplode("every").alias("place", "c"),
+        F.concat_ws(":", "file_name", "line_start", "line_end").alias("source_line"), F.posexplode(F.concat("every", last)).alias("place", "c"),
     ).filter(~is_garbage_name(F.col("c.name")))
+    rule = F.col("c.rule")
+    summary = F.when(rule == "term", F.concat(F.lit(TECH_SUMMARY), "c.name")).when(rule == "pattern", F.substring("text", 1, 200)).otherwise(F.substring("text", 1, 500))
     out = out.select(
         entity_id(F.col("c.type"), F.col("c.seed")).alias("id"), F.col("c.type").alias("type"), F.substring("c.name", 1, 100).alias("name"),
-        F.substring("text", 1, 500).alias("summary"), F.col("c.status").alias("status"), "source", "date", "file_name", "section_ord",
+        summary.alias("summary"), F.col("c.status").alias("status"), "source", "date", "file_name", "section_ord",
         "section_title", "item_ord", "source_line", "place",
     )
     order = Window.partitionBy("source", "file_name", "id").orderBy("section_ord", "item_ord", "place")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from daybook.operators.link import names_inside, searchable
 from daybook.operators.stats import endpoints
 
 
@@ -56,15 +57,30 @@ def trace(entities: DataFrame, relations: DataFrame, root: str, depth: int = 2,
     ).orderBy("depth", F.desc("weight"), "id").limit(most)
 
 
+def timeline(entities: DataFrame, relations: DataFrame, root: str, depth: int = 2) -> DataFrame:
+    """``root`` and the nodes around it in order of their first day: (date, id, summary)."""
+    spark = entities.sparkSession
+    nodes = expand(relations, spark.createDataFrame([(root,)], "node string"), depth).select(F.col("node").alias("id"))
+    out = entities.join(nodes, "id", "left_semi").filter("first_seen IS NOT NULL")
+    return out.select(F.col("first_seen").alias("date"), "id", F.substring("summary", 1, 200).alias("summary")).orderBy("date", "id")
+
+
+def decisions_around(entities: DataFrame, relations: DataFrame, root: str, depth: int = 2) -> DataFrame:
+    """The decisions among ``root`` and the nodes around it, the root's own first, then by
+    depth and id: (place, id, date, content)."""
+    spark = entities.sparkSession
+    nodes = expand(relations, spark.createDataFrame([(root,)], "node string"), depth).withColumnRenamed("node", "id")
+    out = entities.filter("type = 'decision'").join(nodes, "id")
+    return out.select(F.col("depth").alias("place"), "id", F.col("last_seen").alias("date"), F.substring("summary", 1, 200).alias("content")).orderBy("place", "id")
+
+
 def attach_by_name(parents: DataFrame, children: DataFrame, most: int = 5, column: str = "children") -> DataFrame:
     """For each of ``parents`` (id, name): ids of ``children`` (id, name, summary, importance)
-    whose text holds the parent's name, the most important first.
-
-    Names are sought as text, so this pairs each child with each parent name. Names are few
-    and hand-given (projects); a nested loop over them is one pass over the children."""
-    text = F.lower(F.concat_ws("\n", "c_name", "c_summary"))
-    kids = children.select(F.col("id").alias("c_id"), F.col("name").alias("c_name"), F.col("summary").alias("c_summary"), F.col("importance").alias("c_importance"))
-    pairs = kids.join(parents.select("id", "name"), text.contains(F.lower("name")) & (F.col("c_id") != F.col("id")))
+    whose text holds the parent's name, the most important first. Names too short or too
+    general to be searched for have none."""
+    text = F.concat(F.coalesce("name", F.lit("")), F.coalesce("summary", F.lit("")))
+    kids = children.select(F.col("id").alias("c_id"), text.alias("text"), F.col("importance").alias("c_importance"))
+    pairs = names_inside(kids, searchable(parents.select("id", "name"))).filter("c_id <> id")
     order = Window.partitionBy("id").orderBy(F.desc("c_importance"), "c_id")
     pairs = pairs.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most)
     got = pairs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("nth", "c_id"))).alias("x"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook import vocab
-from daybook.functions.text import contains_any, matching_ratio, tokens
+from daybook.functions.text import contains_any, cosine, matching_ratio, tokens
+from daybook.sources.scratch import kept
 
 
 def relation(a: str, b: str, kind: Column, weight: Column, evidence: Column) -> list[Column]:
@@ -26,7 +27,9 @@ def section_links(mentions: DataFrame, most: int = vocab.MAX_RELATIONS_PER_FILE)
     or more tokens in common (0.5), or a pair of types that go together (0.3); the first rule
     that holds. ``mentions`` has file, section, ord, id, type, name, summary.
 
-    A file's pairs are bounded by its section sizes, and its edges by ``most``, in order."""
+    A file's pairs are bounded by its section sizes, and its edges by ``most``, in order. The
+    limit is a rank's, which the optimizer also takes before the shuffle, so that a task never
+    receives more than ``most`` edges of a file from another."""
     own = mentions.withColumn("tokens", tokens(F.concat_ws(" ", "name", "summary"))).withColumn(
         "rank", F.row_number().over(Window.partitionBy("file", "section").orderBy("ord", "id"))
     )
@@ -61,46 +64,105 @@ def contradictions(mentions: DataFrame) -> DataFrame:
     return pairs.select("file", *relation("a_id", "b_id", F.lit("CONTRADICTS"), F.lit(0.7), evidence))
 
 
-def dependencies(entities: DataFrame, projects: DataFrame) -> DataFrame:
-    """Entities of other types whose name or summary holds a project's name (0.8). Project
-    names are few and searched for as text."""
-    safe = projects.filter((F.length("name") >= vocab.MIN_PROJECT_NAME) & ~F.col("name").isin(*vocab.PROJECT_BLOCKLIST))
-    p = safe.select(F.col("id").alias("p_id"), F.lower("name").alias("p_name"))
-    hit = F.lower(F.coalesce("name", F.lit(""))).contains(F.col("p_name")) | F.lower(F.coalesce("summary", F.lit(""))).contains(F.col("p_name"))
-    pairs = entities.filter("type <> 'project'").join(p, hit & (F.col("id") != F.col("p_id")))
-    return pairs.select(*relation("id", "p_id", F.lit("DEPENDS_ON"), F.lit(0.8), F.lit("name_mention")))
+#: So many names are sent to the texts; more are met through their rarest three letters.
+SENT_NAMES = 2_000
+
+
+def searchable(names: DataFrame) -> DataFrame:
+    """Of (id, name), those long and special enough to be searched for inside texts."""
+    return names.filter((F.length("name") >= vocab.MIN_PROJECT_NAME) & ~F.col("name").isin(*vocab.PROJECT_BLOCKLIST))
+
+
+def _grams(text: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n)))
+
+
+def names_inside(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """``texts`` (with ``text``) joined with ``names`` (id, name) that stand in them, whatever
+    the case. Names are counted first: few go to all texts; many meet only the texts that
+    hold the name's rarest three letters. Names have three letters or more."""
+    low = F.lower("text")
+    own = names.select("id", F.lower("name").alias("__name"))
+    if own.count() <= SENT_NAMES:
+        return texts.join(F.broadcast(own), low.contains(F.col("__name"))).drop("__name")
+    own = own.withColumn("__gram", F.explode(_grams(F.col("__name"), 3)))
+    held = texts.withColumn("__gram", F.explode(_grams(low, 3)))
+    often = held.join(own.select("__gram").distinct(), "__gram", "left_semi").groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
+    own = own.join(often, "__gram", "left").groupBy("id", "__name").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)), "__gram")).alias("__rarest"))
+    own = own.select("id", "__name", F.col("__rarest.__gram").alias("__gram"))
+    return held.join(own, "__gram").filter(low.contains(F.col("__name"))).drop("__gram", "__name")
+
+
+def dependencies(entities: DataFrame, projects: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Entities of other types whose name or summary holds a project's name (0.8), with the
+    columns ``carried`` of the entities before them."""
+    text = F.concat_ws("\n", "name", "summary")
+    own = entities.filter("type <> 'project'").select(*carried, F.col("id").alias("e_id"), text.alias("text"))
+    pairs = names_inside(own, searchable(projects.select("id", "name"))).filter("e_id <> id")
+    return pairs.select(*carried, *relation("e_id", "id", F.lit("DEPENDS_ON"), F.lit(0.8), F.lit("name_mention")))
+
+
+def _shared_at_least(length: Column, threshold: float) -> Column:
+    """How many two-letter grams a name shares with any name that matches it by ``threshold``.
+
+    M letters match in at most la + lb - 2M + 1 runs, each of which costs one gram; and the
+    other name is at least t / (2 - t) as long."""
+    whole = (1.5 * threshold - 1) * (1 + threshold / (2 - threshold))
+    return F.greatest(F.lit(1), F.ceil(length * F.lit(whole) - 1 - 1e-9)).cast("int")
 
 
 def similar_names(entities: DataFrame, threshold: float = 0.85, days: int = 30) -> DataFrame:
-    """Pairs (a, b) of one type first seen within ``days`` of one another whose names match
-    by ``threshold`` whatever their case, a the earlier. Before the Arrow function runs, pairs are bounded by
-    their first days, by lengths, and by letters: 2M is at most twice the letters shared."""
+    """Pairs (a, b, ratio) of one type first seen within ``days`` of one another whose names
+    match by ``threshold`` whatever their case, a the earlier.
+
+    A name is listed under its rarest grams only, as many as must hold one that the two
+    share, so that grams that many names have bring nobody together; lists are cut by spans
+    of days. At 0.85 no pair is lost; at lower thresholds short names can match without a
+    gram in common, and such pairs are passed over."""
     own = entities.select("id", "type", F.lower("name").alias("name"), "first_seen").withColumn("len", F.length("name")).filter("len > 0")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.col("len") - 1, F.lit(1))), lambda i: F.substring("name", i, 2)))
-    own = own.withColumn("grams", grams)
-    keyed = own.withColumn("gram", F.explode("grams"))
+    n = F.greatest(F.col("len") - 1, F.lit(1))
+    own = own.withColumn("all", F.transform(F.sequence(F.lit(1), n), lambda i: F.substring("name", i, 2)))
+    # A gram that a name has twice is two: the k-th time counts with the k-th time elsewhere.
+    numbered = F.transform("all", lambda g, i: F.concat(g, F.lit("\x00"), F.size(F.filter(F.slice("all", 1, i), lambda x: x == g)).cast("string")))
+    listed = own.withColumn("gram", F.explode(numbered)).drop("all")
+    often = listed.groupBy("type", "gram").agg(F.count(F.lit(1)).alias("times"))
+    rarest = Window.partitionBy("id", "type", "name", "first_seen").orderBy("times", "gram")
+    prefix = n - _shared_at_least(F.col("len"), threshold) + 1
+    listed = listed.join(often, ["type", "gram"]).withColumn("place", F.row_number().over(rarest)).filter(F.col("place") <= prefix)
+    listed = listed.withColumn("span", F.floor(F.datediff("first_seen", F.lit("1970-01-01").cast("date")) / (days + 1)))
     cols = ("id", "name", "first_seen", "len")
-    a = keyed.select("type", "gram", *(F.col(c).alias(f"a_{c}") for c in cols))
-    b = keyed.select("type", "gram", *(F.col(c).alias(f"b_{c}") for c in cols))
+    a = listed.select("type", "gram", F.explode(F.array("span", F.col("span") + 1)).alias("span"), *(F.col(c).alias(f"a_{c}") for c in cols))
+    b = listed.select("type", "gram", "span", *(F.col(c).alias(f"b_{c}") for c in cols))
     earlier = F.struct("a_first_seen", "a_id") < F.struct("b_first_seen", "b_id")
     near = F.datediff("b_first_seen", "a_first_seen").between(0, days)
     sizes = 2 * F.least("a_len", "b_len") >= threshold * (F.col("a_len") + F.col("b_len"))
-    pairs = a.join(b, ["type", "gram"]).filter(earlier & near & sizes).select(*(f"{s}_{c}" for s in "ab" for c in ("id", "name"))).distinct()
+    pairs = a.join(b, ["type", "gram", "span"]).filter(earlier & near & sizes).select(*(f"{s}_{c}" for s in "ab" for c in ("id", "name"))).distinct()
     return pairs.withColumn("ratio", matching_ratio("b_name", "a_name")).filter(F.col("ratio") >= threshold).select(
         F.col("a_id").alias("a"), F.col("b_id").alias("b"), "ratio"
     )
 
 
+def confirmed_by_vectors(pairs: DataFrame, vectors: DataFrame, sure: float = 0.85, least: float = 0.85) -> DataFrame:
+    """Of pairs (a, b, ratio), those that match by ``sure`` and those below it whose vectors
+    (entity_id, embedding) have a cosine of at least ``least``."""
+    own = vectors.select(F.col("entity_id").alias("id"), "embedding")
+    doubtful = pairs.filter(F.col("ratio") < sure)
+    for s in "ab":
+        doubtful = doubtful.join(own.select(F.col("id").alias(s), F.col("embedding").alias(f"v{s}")), s)
+    alike = doubtful.filter(cosine(F.col("va"), F.col("vb")) >= least)
+    return pairs.filter(F.col("ratio") >= sure).unionByName(alike.select("a", "b", "ratio"))
+
+
 def merge_map(pairs: DataFrame) -> DataFrame:
     """(id, canonical): each id with a similar earlier one goes to its earliest. Pairs point
     to earlier ids and are followed, twice as far each time, until nothing moves."""
     best = Window.partitionBy("b").orderBy(F.desc("ratio"), "a")
     step = pairs.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select(F.col("b").alias("id"), F.col("a").alias("canonical"))
-    # Each round's result is kept: the next one reads it three times.
-    out = step.localCheckpoint()
+    # Each round's result is stored: the next one reads it three times.
+    out = kept(step)
     while True:
         up = out.select(F.col("id").alias("canonical"), F.col("canonical").alias("next"))
-        moved = out.join(up, "canonical", "left").select("id", F.coalesce("next", "canonical").alias("canonical"), "next").localCheckpoint()
+        moved = kept(out.join(up, "canonical", "left").select("id", F.coalesce("next", "canonical").alias("canonical"), "next"))
         out = moved.drop("next")
         if moved.filter("next IS NOT NULL").isEmpty():
             return out

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from daybook import vocab
 from daybook.operators import rollup
-from daybook.sources.store import cascade_delete
+from daybook.sources.scratch import kept
+from daybook.sources.store import Store, cascade_delete
 
 
 def noisy(entities: DataFrame, today: dt.date, slugs: DataFrame | None = None) -> DataFrame:
@@ -37,9 +38,9 @@ def without_weak(relations: DataFrame) -> DataFrame:
     return relations.filter(~weak)
 
 
-def rescored(entities: DataFrame, log: DataFrame, today: dt.date) -> DataFrame:
+def rescored(entities: DataFrame, log: DataFrame, today: dt.date, digits: int = 4) -> DataFrame:
     out = rollup.scored(entities, today, rollup.access_counts(log))
-    return out.withColumn("importance", F.round("score", 4)).select(entities.columns)
+    return out.withColumn("importance", F.round("score", digits)).select(entities.columns)
 
 
 def sizes(tables: dict[str, DataFrame]) -> dict[str, int]:
@@ -58,3 +59,25 @@ def prune_and_rescore(
     if not prune_only:
         out["entities"] = rescored(out["entities"], out["access_log"], today)
     return out, gone
+
+
+def maintain(store: Store, today: dt.date, slugs: DataFrame | None = None, dry_run: bool = False, prune_only: bool = False) -> dict:
+    """Prunes and rescores a store: sizes before and after, how many ids went (or would go) by
+    reason, and how many edges. A dry run writes nothing."""
+    names = ("entities", "relations", "vectors", "access_log")
+    tables = {n: store.read(n) for n in names}
+    after, gone = prune_and_rescore(tables, today, slugs, dry_run, prune_only)
+    gone = kept(gone)
+    report = {"before": sizes(tables), "reasons": {r.reason: r["count"] for r in gone.groupBy("reason").count().collect()}}
+    report["ids"] = gone.select("id").distinct().count()
+    if not dry_run:
+        out = {n: kept(after[n]) for n in names if n != "access_log"}
+        for n, df in out.items():
+            store.write(n, df)
+        links = without_weak(store.read("links"))
+        for end in ("from_entity", "to_entity"):
+            links = links.join(gone.select(F.col("id").alias(end)).distinct(), end, "left_anti")
+        store.write("links", kept(links))
+        # Entities are made from mentions: what went must not come back with the next run.
+        store.write("mentions", kept(store.read("mentions").join(gone.select("id").distinct(), "id", "left_anti")))
+    return report | {"after": sizes({n: store.read(n) for n in names}), "dry_run": dry_run}

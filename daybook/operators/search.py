@@ -21,12 +21,19 @@ def terms(text: Column) -> Column:
 
 
 def postings(entities: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """The inverted index: (entity_id, field, term, tf, positions)."""
-    parts = F.array(*(F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("terms")) for f in fields))
-    words = entities.select(F.col("id").alias("entity_id"), F.explode(parts).alias("x")).select(
-        "entity_id", "x.field", F.posexplode("x.terms").alias("pos", "term")
+    """The inverted index, to be stored: (entity_id, field, term, tf, positions, len), where
+    ``len`` is the entity's number of words. Each entity has one row of an empty field and
+    term besides, so that totals and lengths are read from the index alone."""
+    lists = [terms(F.col(f)).alias(f"t_{f}") for f in fields]
+    words = entities.select(F.col("id").alias("entity_id"), *lists)
+    words = words.withColumn("len", sum((F.size(f"t_{f}") for f in fields), F.lit(0)).cast("bigint"))
+    own = words.select("entity_id", F.lit("").alias("field"), F.lit("").alias("term"), F.col("len").alias("tf"), F.array().cast("array<int>").alias("positions"), "len")
+    parts = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"t_{f}").alias("terms")) for f in fields))
+    each = words.select("entity_id", "len", F.explode(parts).alias("x")).select("entity_id", "len", "x.field", F.posexplode("x.terms").alias("pos", "term"))
+    rows = each.groupBy("entity_id", "field", "term").agg(
+        F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.max("len").alias("len")
     )
-    return words.groupBy("entity_id", "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return rows.unionByName(own)
 
 
 class Query:
@@ -60,76 +67,138 @@ class Query:
         if not all(any(not n for n, *_ in g) for g in self.groups):
             raise SyntaxError("nothing to look for")
 
+    def parts(self) -> list[tuple[str | None, list[str], bool]]:
+        """The parts that add to the rank: those looked for, each once."""
+        out = []
+        for neg, *part in (x for g in self.groups for x in g):
+            if not neg and part[1] and part not in out:
+                out.append(part)
+        return [tuple(p) for p in out]
+
+    def _every(self) -> list[tuple[str | None, list[str], bool]]:
+        return [tuple(p) for _, *p in (x for g in self.groups for x in g) if p[1]]
+
     def wanted(self) -> Column:
         """Of postings: those of any word of the query."""
         out = F.lit(False)
-        for neg, field, words, star in (x for g in self.groups for x in g):
-            for w in words:
-                hit = F.col("term").startswith(w) if star else F.col("term") == w
+        for field, words, star in self._every():
+            for i, w in enumerate(words):
+                hit = _is(F.col("term"), w, star and i == len(words) - 1)
                 out = out | (hit & (F.col("field") == field) if field else hit)
         return out
 
-    def holds(self) -> Column:
-        """Over ``found``: an entity's matching postings as array<struct>."""
-
-        def one(field: str | None, words: list[str], star: bool) -> Column:
-            def right(x: Column, w: str) -> Column:
-                hit = x["term"].startswith(w) if star else x["term"] == w
-                return hit & (x["field"] == field) if field else hit
-
-            if len(words) == 1:
-                return F.exists("found", lambda x: right(x, words[0]))
-            def starts_of(i: int, w: str) -> Column:
-                mine = F.filter("found", lambda x: right(x, w))
-                return F.flatten(F.transform(mine, lambda x: F.transform(x["positions"], lambda p: F.struct(x["field"], p - i))))
-
-            starts = [starts_of(i, w) for i, w in enumerate(words)]
-            both = starts[0]
-            for s in starts[1:]:
-                both = F.array_intersect(both, s)
-            return F.size(both) > 0
-
+    def holds(self, count) -> Column:
+        """The query's condition, from ``count``, a part's number of places in an entity."""
         out = F.lit(False)
         for g in self.groups:
             every = F.lit(True)
             for neg, field, words, star in g:
                 if words:
-                    every = every & (~one(field, words, star) if neg else one(field, words, star))
+                    n = count((field, words, star))
+                    every = every & ((n == 0) if neg else (n > 0))
             out = out | every
         return out
 
 
+def _is(term: Column, word: str, star: bool) -> Column:
+    return term.startswith(word) if star else term == word
+
+
+def _places_in_found(part: tuple) -> Column:
+    """How often a part stands in ``found``, an entity's postings as an array."""
+    field, words, star = part
+
+    def starts(i: int, w: str) -> Column:
+        def right(x: Column) -> Column:
+            hit = _is(x["term"], w, star and i == len(words) - 1)
+            return hit & (x["field"] == field) if field else hit
+
+        return F.flatten(F.transform(F.filter("found", right), lambda x: F.transform(x["positions"], lambda p: F.struct(x["field"], p - i))))
+
+    both = starts(0, words[0])
+    for i, w in enumerate(words[1:], 1):
+        both = F.array_intersect(both, starts(i, w))
+    return F.size(both)
+
+
+def _places_in_terms(part: tuple, fields: tuple[str, ...]) -> Column:
+    """How often a part stands in the fields' word arrays ``t_<field>``."""
+    field, words, star = part
+
+    def inside(f: str) -> Column:
+        own = F.col(f"t_{f}")
+        if len(words) == 1:
+            return F.size(F.filter(own, lambda t: _is(t, words[0], star)))
+
+        # The array beside itself, moved on by one word and more.
+        moved = F.arrays_zip(*(F.slice(own, k + 1, F.greatest(F.size(own) - k, F.lit(0))).alias(f"w{k}") for k in range(len(words))))
+
+        def begins(x: Column) -> Column:
+            out = F.lit(True)
+            for k, w in enumerate(words):
+                out = out & F.coalesce(_is(x[f"w{k}"], w, star and k == len(words) - 1), F.lit(False))
+            return out
+
+        return F.size(F.filter(moved, begins))
+
+    return sum((inside(f) for f in ((field,) if field else fields)), F.lit(0))
+
+
+def _ranked(rows: DataFrame, totals: DataFrame, parts: int) -> DataFrame:
+    """(entity_id, rank) from rows of (entity_id, len, n0, n1, ...) that satisfy the query and
+    the one row of totals (docs, words, d0, d1, ...)."""
+    rank = F.lit(0.0)
+    for i in range(parts):
+        n, d = F.col(f"n{i}"), F.col(f"d{i}")
+        idf = F.greatest(F.log((F.col("docs") - d + 0.5) / (d + 0.5)), F.lit(1e-6))
+        rank = rank + idf * n * (K1 + 1) / (n + K1 * (1 - B + B * F.col("len") / (F.col("words") / F.col("docs"))))
+    return rows.crossJoin(F.broadcast(totals)).select("entity_id", rank.alias("rank"))  # one row
+
+
 def bm25(index: DataFrame, query: str) -> DataFrame:
-    """(entity_id, rank): entities that satisfy the query; the greater the rank the better.
-    A word in half of all rows or more weighs next to nothing."""
+    """(entity_id, rank) from a stored index: entities that satisfy the query; the greater the
+    rank the better. A part in half of all rows or more weighs next to nothing. Only the rows
+    of the query's words, and one row per entity, are read."""
+    parsed = Query(query)
+    parts = parsed.parts()
+    found = index.filter(parsed.wanted()).groupBy("entity_id").agg(F.collect_list(F.struct("field", "term", "positions")).alias("found"), F.max("len").alias("len"))
+    found = found.withColumn("ok", parsed.holds(_places_in_found)).select("entity_id", "len", "ok", *(_places_in_found(p).alias(f"n{i}") for i, p in enumerate(parts)))
+    totals = index.filter("term = ''").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("words"))
+    holding = found.agg(*(F.count_if(F.col(f"n{i}") > 0).alias(f"d{i}") for i in range(len(parts))))
+    return _ranked(found.filter("ok"), totals.crossJoin(holding), len(parts))
+
+
+def bm25_scan(entities: DataFrame, query: str, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """The same without an index, in two passes over the texts and without a shuffle of words."""
     parsed = Query(query)
-    totals = index.groupBy("entity_id").agg(F.sum("tf").alias("len")).agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"))
-    hits = index.filter(parsed.wanted())
-    lengths = index.join(hits.select("entity_id").distinct(), "entity_id", "left_semi").groupBy("entity_id").agg(F.sum("tf").alias("len"))
-    per_term = hits.groupBy("entity_id", "term").agg(F.sum("tf").alias("tf"))
-    df = per_term.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    # ``totals`` is one row; ``df`` has a row per query word.
-    ranks = per_term.join(df, "term").join(lengths, "entity_id").crossJoin(F.broadcast(totals)).groupBy("entity_id").agg(F.sum(weight).alias("rank"))
-    ok = hits.groupBy("entity_id").agg(F.collect_list(F.struct("field", "term", "positions")).alias("found")).filter(parsed.holds())
-    return ranks.join(ok.select("entity_id"), "entity_id", "left_semi")
+    parts = parsed.parts()
+    # One array, exploded: the optimizer would else copy the splitting into each use of it.
+    once = F.explode(F.array(F.struct(*(terms(F.col(f)).alias(f"t_{f}") for f in fields)))).alias("x")
+    words = entities.select(F.col("id").alias("entity_id"), once).select("entity_id", "x.*")
+    rows = words.select(
+        "entity_id", sum((F.size(f"t_{f}") for f in fields), F.lit(0)).alias("len"), parsed.holds(lambda p: _places_in_terms(p, fields)).alias("ok"),
+        *(_places_in_terms(p, fields).alias(f"n{i}") for i, p in enumerate(parts)),
+    )
+    totals = rows.agg(F.count(F.lit(1)).alias("docs"), F.sum("len").alias("words"), *(F.count_if(F.col(f"n{i}") > 0).alias(f"d{i}") for i in range(len(parts))))
+    return _ranked(rows.filter("ok"), totals, len(parts))
 
 
 def like(entities: DataFrame, query: str) -> DataFrame:
     return entities.filter(like_ascii(F.col("name"), query) | like_ascii(F.col("summary"), query))
 
 
-def keyword(entities: DataFrame, index: DataFrame, query: str, limit: int) -> DataFrame:
-    """Top rows by BM25 with ``rank``; where the query is no keyword query or nothing is
-    found, rows that hold it as text, by importance."""
+def keyword(pool: DataFrame, query: str, limit: int, index: DataFrame | None = None, all_rows: DataFrame | None = None) -> DataFrame:
+    """Top rows of ``pool`` by BM25 with ``rank``; where the query is no keyword query or is
+    found in no row at all, rows that hold it as text, by importance. Ranks are those among
+    ``all_rows`` (``pool`` by default), whose stored ``index`` is read where there is one;
+    rows outside the pool are left out before the limit."""
     try:
-        hits = bm25(index, query).orderBy(F.desc("rank"), "entity_id").limit(limit)
-        if not hits.isEmpty():
-            return entities.join(hits.withColumnRenamed("entity_id", "id"), "id").orderBy(F.desc("rank"), "id")
+        ranks = bm25(index, query) if index is not None else bm25_scan(all_rows if all_rows is not None else pool, query)
+        if not ranks.isEmpty():
+            return pool.join(ranks.withColumnRenamed("entity_id", "id"), "id").orderBy(F.desc("rank"), "id").limit(limit)
     except SyntaxError:
         pass
-    return like(entities, query).withColumn("rank", F.lit(0.0)).orderBy(F.desc("importance"), "id").limit(limit)
+    return like(pool, query).withColumn("rank", F.lit(0.0)).orderBy(F.desc("importance"), "id").limit(limit)
 
 
 def nearest(vectors: DataFrame, query: list[float], limit: int, metric: str = "cosine", id_column: str = "entity_id", column: str = "embedding") -> DataFrame:

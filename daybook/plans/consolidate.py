@@ -9,9 +9,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.operators import extract, link, rollup
+from daybook.operators import extract, link, rollup, search
 from daybook.sources import embeddings
-from daybook.sources.notes import parse, read_files
+from daybook.sources.notes import parse_checked, read_files
+from daybook.sources.scratch import kept
 from daybook.sources.store import TABLES, Store, put_relations, upsert
 
 
@@ -22,6 +23,8 @@ class Result:
     processed: int = 0
     skipped: int = 0
     failed: int = 0
+    created: int = 0
+    updated: int = 0
     entities: int = 0
     relations: int = 0
     status: str = "ok"
@@ -40,6 +43,7 @@ def entities_of(mentions: DataFrame, today: dt.date, access: DataFrame | None =
     if merges is not None:
         mentions = mentions.join(merges, "id", "left").withColumn("id", F.coalesce("canonical", "id")).drop("canonical")
     latest = F.struct("date", "file_name", (-F.col("nth")).alias("n"))
+    place = F.struct("date", "source", "file_name", "section_ord", "item_ord", "source_line")
     whole = rollup.rollup(
         mentions,
         {
@@ -48,7 +52,8 @@ def entities_of(mentions: DataFrame, today: dt.date, access: DataFrame | None =
             "status": F.max_by("status", latest),
             "origin": F.max_by("source", latest),
             "distinct_categories": F.count_distinct("section_title"),
-            "source_lines": F.array_sort(F.collect_set("source_line")),
+            # In the order of days and places, each once.
+            "source_lines": F.array_distinct(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["source_line"])),
         },
     )
     whole = whole.join(rollup.recent_days(mentions, today), "id")
@@ -57,57 +62,109 @@ def entities_of(mentions: DataFrame, today: dt.date, access: DataFrame | None =
     return scored.withColumn("importance", F.round("score", 4)).withColumn("metadata", meta)
 
 
+def relations_of(links: DataFrame, merges: DataFrame | None = None) -> DataFrame:
+    """Relations derived from all links: ends that were merged go to their canonical id."""
+    ends = links
+    for end in ("from_entity", "to_entity"):
+        if merges is not None:
+            ends = ends.join(merges.select(F.col("id").alias(end), "canonical"), end, "left").withColumn(end, F.coalesce("canonical", end)).drop("canonical")
+    ends = ends.withColumn("id", F.format_string("rel:%s->%s:%s", "from_entity", "to_entity", "rel_type"))
+    names = [c.split()[0] for c in TABLES["relations"][0].split(", ")]
+    return put_relations(ends.select(*names).limit(0), ends.select(*names))
+
+
+def links_of(mentions: DataFrame, projects: DataFrame) -> DataFrame:
+    """Links of each file of ``mentions``, by the ids that its mentions have."""
+    file = F.struct("source", "file_name").alias("file")
+    own = mentions.select(file, F.col("section_ord").alias("section"), F.col("item_ord").alias("ord"), "id", "type", "name", "summary").dropDuplicates(["file", "id"])
+    edges = link.section_links(own).unionAll(link.contradictions(own)).unionAll(link.dependencies(own, projects, ("file",)))
+    return edges.select("file.source", "file.file_name", "from_entity", "to_entity", "rel_type", "weight", "evidence")
+
+
+def similar_pairs(mentions: DataFrame, store: Store, embedder: Callable | None) -> DataFrame:
+    """Pairs of ids that are one entity: names alike by 0.85, or by 0.70 where the vectors of
+    both are neighbours (an embedder given; vectors missing are made first)."""
+    latest = F.struct("date", "file_name", (-F.col("nth")).alias("n"))
+    whole = rollup.rollup(mentions, {"name": F.max_by("name", latest), "summary": F.max_by("summary", latest)})
+    if embedder is None:
+        return link.similar_names(whole)
+    embed_missing(store, whole, embedder)
+    return link.confirmed_by_vectors(link.similar_names(whole, 0.70), store.read("vectors"))
+
+
+def embed_missing(store: Store, entities: DataFrame, embedder: Callable) -> None:
+    known = store.read("vectors")
+    wanted = entities.join(known.select(F.col("entity_id").alias("id")), "id", "left_anti")
+    store.write("vectors", upsert(known, embeddings.embed(wanted, embedder), ["entity_id"]))
+
+
+def embed_again(store: Store, embedder: Callable) -> int:
+    """All entities' vectors anew, whatever was stored; how many have one now."""
+    store.write("vectors", embeddings.embed(store.read("entities"), embedder))
+    return store.read("vectors").count()
+
+
+def write_index(store: Store) -> None:
+    """The keyword index of the present entities, laid out by term so that a query's words
+    are found by the files' least and greatest terms."""
+    index = search.postings(store.read("entities"))
+    store.write("postings", index.repartitionByRange("term", "entity_id").sortWithinPartitions("term", "entity_id"))
+
+
 def consolidate(
     store: Store, sources: list[tuple[str, str]], today: dt.date, embedder: Callable | None = None, merge_similar: bool = True
 ) -> Result:
     """Reads what is new, writes the next version of each table, and says how it went. A
-    version appears whole or not at all."""
+    version appears whole or not at all. Files that cannot be read are reported and come back
+    at the next run; the others are processed. Edited files lose their old mentions and links."""
     result = Result()
     files = read_files(store.spark, sources)
-    manifest, old_mentions = store.read("manifest"), store.read("mentions")
-    new = changed(files, manifest).cache()
+    manifest = store.read("manifest")
+    new = kept(changed(files, manifest))
+    result.skipped = files.count() - new.count()
     try:
+        items = kept(parse_checked(new))
+        bad = items.filter("error IS NOT NULL").select("source", "file_name", "error")
+        result.errors = [f"{r.source}/{r.file_name}: {r.error}" for r in bad.orderBy("source", "file_name").limit(100).collect()]
+        result.failed = bad.count()
+        new = new.join(bad.select("source", "file_name"), ["source", "file_name"], "left_anti")
         result.processed = new.count()
-        result.skipped = files.count() - result.processed
+        result.status = "ok" if not result.failed else "partial" if result.processed else "error"
         if not result.processed:
             return result
         names = [c.split()[0] for c in TABLES["mentions"][0].split(", ")]
-        fresh = extract.mentions(parse(new)).filter("nth = 1").select(*names)
+        fresh = extract.mentions(items.filter("error IS NULL").drop("error")).filter("nth = 1").select(*names)
         replaced = new.select("source", "file_name").distinct()
-        mentions = old_mentions.join(replaced, ["source", "file_name"], "left_anti").select(*names).unionAll(fresh)
-        store.write("mentions", mentions)
+        store.write("mentions", store.read("mentions").join(replaced, ["source", "file_name"], "left_anti").select(*names).unionAll(fresh))
         mentions = store.read("mentions")
-        merges = None
-        if merge_similar:
-            pairs = link.similar_names(rollup.rollup(mentions, {"name": F.max_by("name", "date")}))
-            merges = link.merge_map(pairs)
-        entities = entities_of(mentions, today, rollup.access_counts(store.read("access_log")), merges)
-        store.write("entities", entities)
+        merges = link.merge_map(similar_pairs(mentions, store, embedder)) if merge_similar else None
+        before = kept(store.read("entities").select("id"))
+        store.write("entities", entities_of(mentions, today, rollup.access_counts(store.read("access_log")), merges))
         entities = store.read("entities")
-        fresh = store.read("mentions").join(replaced, ["source", "file_name"], "left_semi")
+        result.entities = entities.count()
+        result.created = entities.join(before, "id", "left_anti").count()
+        touched = mentions.join(replaced, ["source", "file_name"], "left_semi").select("id").distinct()
         if merges is not None:
-            fresh = fresh.join(merges, "id", "left").withColumn("id", F.coalesce("canonical", "id")).drop("canonical")
-        file = F.concat_ws("/", "source", "file_name").alias("file")
-        linkable = fresh.select(file, F.col("section_ord").alias("section"), F.col("item_ord").alias("ord"), "id", "type", "name", "summary").dropDuplicates(["file", "id"])
-        edges = link.section_links(linkable).unionAll(link.contradictions(linkable)).drop("file")
-        edges = edges.unionAll(link.dependencies(linkable, entities.filter("type = 'project'")))
-        store.write("relations", put_relations(store.read("relations"), edges))
+            touched = touched.join(merges, "id", "left").select(F.coalesce("canonical", "id").alias("id")).distinct()
+        result.updated = touched.join(before, "id", "left_semi").count()
+        own = links_of(mentions.join(replaced, ["source", "file_name"], "left_semi"), entities.filter("type = 'project'"))
+        old = store.read("links").join(replaced, ["source", "file_name"], "left_anti")
+        store.write("links", old.select(own.columns).unionAll(own))
+        store.write("relations", relations_of(store.read("links"), merges))
+        result.relations = store.read("relations").count()
+        write_index(store)
         if embedder:
-            known = store.read("vectors")
-            wanted = entities.join(known.select(F.col("entity_id").alias("id")), "id", "left_anti")
-            store.write("vectors", upsert(known, embeddings.embed(wanted, embedder), ["entity_id"]))
-        counts = store.read("mentions").groupBy("source", "file_name").agg(F.count_distinct("id").alias("entity_count"))
+            embed_missing(store, entities, embedder)
+        counts = mentions.groupBy("source", "file_name").agg(F.count_distinct("id").alias("entity_count"))
         empty = F.col("entity_count").isNull()
         rows = new.join(counts, ["source", "file_name"], "left").select(
             "date", "source", "file_name", F.when(empty, "").otherwise(F.col("sha256")).alias("sha256"),
             F.coalesce("entity_count", F.lit(0)).alias("entity_count"), F.lit(dt.datetime.combine(today, dt.time())).alias("processed_at"),
-            F.when(empty, "empty").otherwise("ok").alias("status"),
+            F.when(empty, "empty").otherwise("ok").alias("status"), "title",
         )
         store.write("manifest", upsert(manifest, rows, ["date", "source", "file_name"]))
-        result.entities, result.relations = entities.count(), store.read("relations").count()
     except Exception as e:  # the run reports; versions already written stay whole
-        result.failed, result.status = result.processed, "error"
-        result.errors.append(f"{type(e).__name__}: {e}")
-    finally:
-        new.unpersist()
+        result.failed, result.status = result.failed + result.processed, "error"
+        said = str(e).strip().splitlines() or [""]
+        result.errors.append(f"{type(e).__name__}: {said[0]} ... {said[-1]}")
     return result

@@ -239,14 +239,14 @@ _TERMS = """w AS (SELECT id, unnest(regexp_extract_all(translate(regexp_replace(
 )
 def bm25_search(spark, sf):
     """Every note with both words, by BM25."""
-    hits = search.bm25(search.postings(t.notes(spark, sf)), "license version")
+    hits = search.bm25_scan(t.notes(spark, sf), "license version")
     return hits.select("entity_id", F.round("rank", 6).alias("rank"))
 
 
 @query(f"WITH {NOTE} SELECT id FROM note WHERE regexp_matches(' ' || lower(regexp_replace(name, '[^A-Za-z0-9]+', ' ', 'g')) || ' ', ' license version ') OR "
        "regexp_matches(' ' || lower(regexp_replace(summary, '[^A-Za-z0-9]+', ' ', 'g')) || ' ', ' license version ') ORDER BY id")
 def phrase_search(spark, sf):
-    hits = search.bm25(search.postings(t.notes(spark, sf)), '"license version"')
+    hits = search.bm25_scan(t.notes(spark, sf), '"license version"')
     return hits.select(F.col("entity_id").alias("id"))
 
 
@@ -295,7 +295,7 @@ def bfs_depth2(spark, sf):
     "SELECT ent.id, last_seen, depth, coalesce(k.rel_type, 'RELATES_TO') AS rel_type, round(coalesce(k.weight, 0.5), 6) AS weight "
     "FROM v JOIN ent ON ent.id = v.node LEFT JOIN k ON k.other = ent.id WHERE depth > 0 ORDER BY depth, coalesce(k.weight, 0.5) DESC, ent.id LIMIT 20"
 )
-def trace_timeline(spark, sf):
+def trace_related(spark, sf):
     out = graph.trace(t.entities(spark, sf), t.relations(spark, sf), _ROOT)
     return out.select("id", "last_seen", "depth", "rel_type", F.round("weight", 6).alias("weight"))
 
@@ -349,7 +349,7 @@ def decision_history_query(spark, sf):
 
 @query(
     f"WITH {ENT}, p AS (SELECT *, string_split(id, ':')[-1] AS c FROM ent WHERE type = 'project' AND last_seen >= DATE '{D}' - 14), "
-    "k AS (SELECT p.id, e.id AS cid, row_number() OVER (PARTITION BY p.id ORDER BY e.importance DESC, e.id) AS i FROM p JOIN ent e ON e.type = 'task' AND contains(e.name || chr(10) || e.summary, ' ' || p.c)) "
+    "k AS (SELECT p.id, e.id AS cid, row_number() OVER (PARTITION BY p.id ORDER BY e.importance DESC, e.id) AS i FROM p JOIN ent e ON e.type = 'task' AND length(p.c) >= 2 AND contains(e.name || e.summary, ' ' || p.c)) "
     "SELECT p.id, coalesce(string_agg(cid, ',' ORDER BY i) FILTER (i <= 5), '') AS open_tasks FROM p LEFT JOIN k USING (id) GROUP BY p.id"
 )
 def open_tasks_attach(spark, sf):
@@ -360,11 +360,12 @@ def open_tasks_attach(spark, sf):
 
 
 @query(
-    f"WITH {NOTE}, p AS (SELECT 'nation:' || n_nationkey AS pid, lower(n_name) AS n FROM nation WHERE length(n_name) >= 3), "
-    "h AS (SELECT id, pid FROM note, p WHERE contains(lower(name), left(n, 4)) OR contains(lower(summary), left(n, 4))) SELECT 'rel:' || id || '->' || pid || ':DEPENDS_ON' AS id FROM h"
+    f"WITH {NOTE}, p AS (SELECT 'item:' || item_id AS pid, lower(string_split(text, ' ')[1]) AS n FROM benchmark WHERE length(string_split(text, ' ')[1]) >= 3), "
+    "h AS (SELECT id, pid FROM note, p WHERE contains(lower(name), n) OR contains(lower(summary), n)) SELECT 'rel:' || id || '->' || pid || ':DEPENDS_ON' AS id FROM h"
 )
 def project_dependency(spark, sf):
-    p = t.table(spark, sf, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"), F.left("n_name", F.lit(4)).alias("name"))
+    """Notes that hold the first word of a benchmark item, as if it were a project's name."""
+    p = t.table(spark, sf, "benchmark").select(F.concat(F.lit("item:"), F.col("item_id").cast("string")).alias("id"), F.split("text", " ")[0].alias("name"))
     return ids(link.dependencies(t.notes(spark, sf), p))
 
 
@@ -373,8 +374,7 @@ def project_dependency(spark, sf):
 
 def _turns(spark, sf) -> DataFrame:
     """Turns as mentions: a conversation is a file, user and system turns are decisions and
-    risks, the name is the first word, the summary the whole text (its first 200 characters
-    in SQL)."""
+    risks, the name is the first word, the summary the whole text."""
     kind = F.when(F.col("role") == "user", "decision").when(F.col("role") == "assistant", "risk").otherwise("fact")
     return t.table(spark, sf, "conversations").select(
         F.col("conv_id").cast("string").alias("file"), F.lit(0).alias("section"), F.col("turn").alias("ord"),
@@ -385,7 +385,7 @@ def _turns(spark, sf) -> DataFrame:
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 _TURNS = f"""m AS (SELECT conv_id, turn, 't:' || conv_id || ':' || turn AS id, CASE role WHEN 'user' THEN 'decision' WHEN 'assistant' THEN 'risk' ELSE 'fact' END AS type,
-  string_split(text, ' ')[1] AS name, substr(text, 1, 200) AS summary FROM conversations),
+  string_split(text, ' ')[1] AS name, text AS summary FROM conversations),
 mt AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, id) AS r,
   list_filter(list_distinct(list_transform(regexp_extract_all(name || ' ' || summary, '[a-zA-Z]{{2,}}'), lambda x: lower(x))), lambda x: x NOT IN ({_STOP})) AS tok FROM m),
 pr AS (SELECT a.conv_id, a.r AS ra, b.r AS rb, a.id AS f, b.id AS t, contains(a.summary, b.name) OR contains(b.summary, a.name) AS named,
@@ -425,11 +425,11 @@ ACRONYM = r"(?<![\p{L}\p{N}_])([A-Z][A-Z0-9]{1,7})(?![\p{L}\p{N}_])"
 
 
 @query(
-    "SELECT doc_id, term FROM (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(coalesce(text, ''), '\\b[A-Z][A-Z0-9]{1,7}\\b'), lambda x: true))) AS term FROM documents WHERE regexp_matches(coalesce(text, ''), '^[\\x00-\\x7F]*$'))"
+    "SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Z0-9]{1,7}')))) AS term FROM documents"
 )
 def acronym_terms(spark, sf):
-    """Acronyms of all texts; letters and digits of any script make words. The SQL reads ASCII
-    texts only, so it has the rows of those alone."""
+    """Acronyms of all texts; letters and digits of any script make words. In SQL whole words
+    are taken first and then judged."""
     docs = t.table(spark, sf, "documents")
     found = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(ACRONYM), F.lit(1)))
     return docs.select("doc_id", F.explode(found).alias("term"))
@@ -442,11 +442,14 @@ def tech_terms(spark, sf):
 
 
 @query(
-    "WITH s AS (SELECT doc_id, trim(string_split(coalesce(text, ''), chr(10))[1]) AS s FROM documents) SELECT doc_id, CASE WHEN strpos(s, ', ') - 1 > 4 AND strpos(s, ', ') - 1 <= 40 THEN substr(s, 1, strpos(s, ', ') - 1) "
+    "WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents), s AS (SELECT doc_id, regexp_replace(regexp_replace(l, '^[\\s\\v]+', ''), '[\\s\\v]+$', '') AS s FROM l) "
+    "SELECT doc_id, CASE WHEN strpos(s, '。') - 1 BETWEEN 5 AND 40 THEN substr(s, 1, strpos(s, '。') - 1) WHEN strpos(s, ', ') - 1 > 4 AND strpos(s, ', ') - 1 <= 40 THEN substr(s, 1, strpos(s, ', ') - 1) "
     "WHEN strpos(s, '; ') - 1 > 4 AND strpos(s, '; ') - 1 <= 40 THEN substr(s, 1, strpos(s, '; ') - 1) WHEN length(s) > 40 THEN substr(s, 1, 39) || '…' ELSE s END AS name FROM s"
 )
 def clause_compact(spark, sf):
-    return t.table(spark, sf, "documents").select("doc_id", tx.compact_name(F.split(F.coalesce("text", F.lit("")), "\n")[0]).alias("name"))
+    """Names from every line of every text."""
+    lines = t.table(spark, sf, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    return lines.select("doc_id", tx.compact_name(F.col("line")).alias("name"))
 
 
 @query("SELECT p_partkey, 'tech:' || substr(regexp_replace(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 30) AS id FROM part")

@@ -33,21 +33,25 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolled-up mentions with a name, a summary, tags and an importance between 0 and 1."""
     from daybook.operators.rollup import rollup
 
-    out = rollup(mentions(spark, sf_dir), {"importance": F.max("price") / 600000, "tag_count": F.count_distinct("source")})
+    extra = {"importance": F.max("price") / 600000, "tag_count": F.count_distinct("source"), "origin": F.min("source")}
+    out = rollup(mentions(spark, sf_dir), extra)
     key = F.element_at(F.split("id", ":"), -1)
     return out.withColumn("name", F.concat_ws(" ", "type", key)).withColumn(
         "summary", F.concat(F.lit("about customer "), key, F.lit(" since "), F.col("first_seen").cast("string"))
     )
 
 
+#: Orders in a run of so many keys are neighbours: groups stay small however many there are.
+RUN = 500
+
+
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive large orders of one priority and month link their entities."""
-    orders = table(spark, sf_dir, "orders").filter("o_totalprice > 400000")
-    own = orders.select(
+    """Consecutive orders inside a run of order keys link their entities."""
+    own = table(spark, sf_dir, "orders").select(
         F.concat_ws(":", "o_orderpriority", F.col("o_custkey").cast("string")).alias("to_entity"),
-        "o_orderpriority", F.date_trunc("month", "o_orderdate").alias("m"), "o_orderdate", "o_orderkey", "o_totalprice",
+        F.floor(F.col("o_orderkey") / RUN).alias("run"), "o_orderdate", "o_orderkey", "o_totalprice",
     )
-    before = Window.partitionBy("o_orderpriority", "m").orderBy("o_orderdate", "o_orderkey")
+    before = Window.partitionBy("run").orderBy("o_orderdate", "o_orderkey")
     edges = own.withColumn("from_entity", F.lag("to_entity").over(before)).filter("from_entity <> to_entity")
     edges = edges.groupBy("from_entity", "to_entity").agg((F.max("o_totalprice") / 500000).alias("weight"))
     return edges.select(
@@ -56,6 +60,29 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+class Snapshot:
+    """Tables by name, as the tools read them from a store."""
+
+    def __init__(self, **tables: DataFrame) -> None:
+        self.tables = tables
+
+    def read(self, name: str) -> DataFrame:
+        return self.tables[name]
+
+
+def known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities with metadata; facts about every second customer are preferences, and
+    projects have their customer's name, which tasks mention."""
+    e = entities(spark, sf_dir).withColumn("even", F.element_at(F.split("id", ":"), -1).cast("bigint") % 2 == 0)
+    meta = F.create_map(
+        F.lit("source"), F.col("origin"), F.lit("domain"), F.when(F.col("origin") == "F", "Work").otherwise("home"),
+        F.lit("status"), F.when(F.col("origin") == "F", "completed").otherwise("todo"),
+    )
+    kind = F.when((F.col("type") == "fact") & F.col("even"), "preference").otherwise(F.col("type"))
+    name = F.when(F.col("type") == "project", F.concat_ws(" ", F.lit("customer"), F.element_at(F.split("id", ":"), -1))).otherwise(F.col("name"))
+    return e.withColumns({"type": kind, "name": name, "metadata": meta}).drop("even", "origin", "tag_count")
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as entities: the first line is the name, the text the summary."""
     return table(spark, sf_dir, "documents").select(
@@ -79,15 +106,21 @@ ENTITIES_SQL = (
     MENTIONS_SQL
     + """,
 ent0 AS (SELECT id, type, min(date) AS first_seen, max(date) AS last_seen, count(DISTINCT date)::BIGINT AS day_count, max(price) / 600000 AS importance,
-  count(DISTINCT source)::BIGINT AS tag_count FROM men GROUP BY id, type),
+  count(DISTINCT source)::BIGINT AS tag_count, min(source) AS origin FROM men GROUP BY id, type),
 ent AS (SELECT *, type || ' ' || string_split(id, ':')[-1] AS name, 'about customer ' || string_split(id, ':')[-1] || ' since ' || first_seen::VARCHAR AS summary FROM ent0)"""
 )
-RELATIONS_SQL = """rel0 AS (SELECT lag(t) OVER (PARTITION BY o_orderpriority, m ORDER BY o_orderdate, o_orderkey) AS f, t, o_totalprice FROM
-  (SELECT *, o_orderpriority || ':' || o_custkey AS t, date_trunc('month', o_orderdate) AS m FROM orders WHERE o_totalprice > 400000)),
+RELATIONS_SQL = f"""rel0 AS (SELECT lag(t) OVER (PARTITION BY run ORDER BY o_orderdate, o_orderkey) AS f, t, o_totalprice FROM
+  (SELECT *, o_orderpriority || ':' || o_custkey AS t, o_orderkey // {RUN} AS run FROM orders)),
 rel AS (SELECT 'rel:' || f || '->' || t || ':RELATES_TO' AS id, f AS from_entity, t AS to_entity,
   CASE WHEN max(o_totalprice) / 500000 > 0.95 THEN 'DEPENDS_ON' ELSE 'RELATES_TO' END AS rel_type, max(o_totalprice) / 500000 AS weight, 'co_occurrence' AS evidence
   FROM rel0 WHERE f <> t GROUP BY f, t),
 ends AS (SELECT from_entity AS node, to_entity AS other, * FROM rel UNION ALL SELECT to_entity, from_entity, * FROM rel WHERE from_entity <> to_entity)"""
+KNOWN_SQL = (
+    ENTITIES_SQL
+    + """,
+kn AS (SELECT id, CASE WHEN type = 'fact' AND string_split(id, ':')[-1]::BIGINT % 2 = 0 THEN 'preference' ELSE type END AS type,
+  CASE WHEN type = 'project' THEN 'customer ' || string_split(id, ':')[-1] ELSE name END AS name, summary, importance, first_seen, last_seen, day_count, origin AS source, CASE WHEN origin = 'F' THEN 'Work' ELSE 'home' END AS domain, CASE WHEN origin = 'F' THEN 'completed' ELSE 'todo' END AS status FROM ent)"""
+)
 NOTES_SQL = """note AS (SELECT 'doc:' || doc_id AS id, doc_id, string_split(coalesce(text, ''), chr(10))[1] AS name, coalesce(text, '') AS summary, lang AS type,
   source, n_chars / 40000.0 AS importance FROM documents)"""
 MANIFEST_SQL = "man AS (SELECT ts::DATE AS date, event_type AS source, max(ts) AS processed_at, count(*)::BIGINT AS entity_count FROM events GROUP BY 1, 2)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +13,8 @@ from daybook.schemas import ITEMS
 from daybook.vocab import RAW_TITLES, SECTION_TYPES, SUMMARY_TITLES, TAG_TYPES
 
 FILE_NAME = r"^(?:sample_)?(\d{4}-\d{2}-\d{2})\.md$"
+#: A name that dates a file without frontmatter; samples have no date of their own.
+DATED_NAME = r"^(\d{4}-\d{2}-\d{2})\.md$"
 
 
 def parse_source_list(text: str | None, default: str = "notes") -> list[tuple[str, str]]:
@@ -25,8 +27,10 @@ def parse_source_list(text: str | None, default: str = "notes") -> list[tuple[st
 
 
 def read_files(spark: SparkSession, sources: list[tuple[str, str]]) -> DataFrame:
-    """All note files of (name, folder) pairs: source, date, file_name, path, sha256, content.
-    Other file names and hidden files are passed over; a missing folder has no files."""
+    """All note files of (name, folder) pairs: source, date, file_name, path, sha256, content,
+    error, title, stated_date. Other file names and hidden files are passed over; a missing
+    folder has no files. A file that is not UTF-8 has an ``error`` and no content. The stated
+    date is the frontmatter's, or else that of the name, unless it is a sample's."""
     out = None
     for name, folder in sources:
         got = (
@@ -44,9 +48,14 @@ def read_files(spark: SparkSession, sources: list[tuple[str, str]]) -> DataFrame
                 "file_name",
                 "path",
                 F.sha2("content", 256).alias("sha256"),
-                F.decode("content", "UTF-8").alias("content"),
+                F.col("content").cast("string").alias("content"),
             )
+            .withColumn("error", F.when(~F.is_valid_utf8("content"), "malformed UTF-8"))
+            .withColumn("content", F.when(F.col("error").isNull(), F.col("content")))
         )
+        title, stated = frontmatter("content")
+        by_name = F.try_to_date(F.nullif(F.regexp_extract("file_name", DATED_NAME, 1), F.lit("")))
+        own = own.withColumns({"title": title, "stated_date": F.coalesce(F.try_to_date(F.nullif(stated, F.lit(""))), by_name)})
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -156,16 +165,29 @@ def items_of(content: str) -> list[dict]:
     return sorted(reader.rows, key=lambda r: (r["section_ord"], r["line_start"]))
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """One row per item, in batches of files; a file is read whole by one task."""
-    names = [c.split()[0] for c in ITEMS.split(", ")]
+def parse_checked(files: DataFrame) -> DataFrame:
+    """One row per item, with ``error`` null; a file that cannot be read has one row with an
+    error and no item. Files go in batches, each is read whole by one task."""
+    error = F.col("error") if "error" in files.columns else F.lit(None).cast("string").alias("error")
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "date": pa.date32()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in (ITEMS + ", error string").split(", "))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for source, date, file_name, content in pdf.itertuples(index=False):
-                for nth, item in enumerate(items_of(content or "")):
-                    rows.append({"source": source, "date": date, "file_name": file_name, "item_ord": nth, **item})
-            yield pd.DataFrame(rows, columns=names)
+            for f in batch.to_pylist():
+                own = {k: f[k] for k in ("source", "date", "file_name")}
+                try:
+                    if f["error"]:
+                        raise ValueError(f["error"])
+                    rows += [{**own, "item_ord": nth, **item} for nth, item in enumerate(items_of(f["content"] or ""))]
+                except Exception as e:  # noqa: BLE001 - a bad file must not stop the others
+                    rows.append({**own, "error": f"{type(e).__name__}: {e}"})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return files.select("source", "date", "file_name", "content", error).mapInArrow(run, ITEMS + ", error string")
 
-    return files.select("source", "date", "file_name", "content").mapInPandas(run, ITEMS)
+
+def parse(files: DataFrame) -> DataFrame:
+    """The items of all files that can be read."""
+    return parse_checked(files).filter("error IS NULL").drop("error")

@@ -14,6 +14,8 @@ TABLES = {
     "relations": (schemas.RELATIONS, ["id"]),
     "manifest": (schemas.MANIFEST, ["date", "source", "file_name"]),
     "mentions": (schemas.MENTIONS, ["file_name", "source", "id", "nth"]),
+    "links": (schemas.LINKS, []),
+    "postings": (schemas.POSTINGS, ["entity_id", "field", "term"]),
     "access_log": (schemas.ACCESS_LOG, []),
     "vectors": (schemas.VECTORS, ["entity_id"]),
 }
@@ -99,6 +101,11 @@ class Store:
         if v > 1:
             self.fs.delete(self._path(table, f"v={v - 1}"), True)
 
+    def size_mb(self) -> float:
+        """Megabytes of all tables and versions."""
+        root = self._path()
+        return round(self.fs.getContentSummary(root).getLength() / 2**20, 2) if self.fs.exists(root) else 0.0
+
     def log_access(self, hits: DataFrame, tool: str, query: str, now: dt.datetime) -> None:
         """Appends one row per hit (entity_id). Reading never writes by itself."""
         rows = hits.select("entity_id", F.lit(tool).alias("tool"), F.lit(query).alias("query"), F.lit(now).alias("accessed_at"))
