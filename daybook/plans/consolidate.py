@@ -40,16 +40,17 @@ def changed(files: DataFrame, manifest: DataFrame) -> DataFrame:
 def entities_of(mentions: DataFrame, today: dt.date, access: DataFrame | None = None, merges: DataFrame | None = None) -> DataFrame:
     """Entities derived from all mentions: they can always be made again from the files.
     The latest mention names and describes; source lines are all kept."""
+    latest = F.struct("date", "source", "file_name", (-F.col("section_ord")).alias("s"), (-F.col("item_ord")).alias("i"), "__raw")
+    mentions = mentions.withColumn("__raw", F.col("id"))
     if merges is not None:
         mentions = mentions.join(merges, "id", "left").withColumn("id", F.coalesce("canonical", "id")).drop("canonical")
-    latest = F.struct("date", "file_name", (-F.col("nth")).alias("n"))
     place = F.struct("date", "source", "file_name", "section_ord", "item_ord", "source_line")
     whole = rollup.rollup(
         mentions,
         {
             "name": F.max_by("name", latest),
             "summary": F.max_by("summary", latest),
-            "status": F.max_by("status", latest),
+            "status": F.max_by("status", F.when(F.col("status").isNotNull(), latest)),
             "origin": F.max_by("source", latest),
             "distinct_categories": F.count_distinct("section_title"),
             # In the order of days and places, each once.

@@ -1,7 +1,14 @@
 """The note engine: parsing, extraction, scores, links, search, graph, store, ingestion."""
 
 import datetime as dt
+import difflib
+import io
+import json
+import os
+import random
 import re
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,8 +16,9 @@ from pyspark.sql import functions as F
 from daybook.functions import scoring
 from daybook.functions import text as tx
 from daybook.operators import extract, graph, link, maintain, rollup, search, stats
-from daybook.plans import queries
-from daybook.plans.consolidate import consolidate
+from daybook.plans import queries, queries_notes, server
+from daybook.plans.consolidate import consolidate, embed_again
+from daybook.plans.tables import Snapshot
 from daybook.plans.tools import Knowledge, clamp
 from daybook.sources import notes, registry
 from daybook.sources.embeddings import embed, from_environment
@@ -138,6 +146,34 @@ class TestLinks:
         df = spark.createDataFrame(rows, "file string, section int, ord int, id string, type string, name string, summary string")
         assert [(r.from_entity, r.to_entity, r.evidence) for r in link.contradictions(df).collect()] == [("a", "b", "opposing_stance: postgres")]
 
+    @pytest.mark.parametrize("sent", [2000, 0])
+    def test_names_inside_texts(self, spark, monkeypatch, sent):
+        """Sent to the texts, or met through their rarest letters: the same pairs."""
+        monkeypatch.setattr(link, "SENT_NAMES", sent)
+        texts = [(i, t) for i, t in enumerate(["the HomeBrain and homelab", "homelab", "nothing", "", None, "brainhome HOMEBRAIN", "家庭大脑上线"])]
+        names = [("a", "homebrain"), ("b", "HomeLab"), ("c", "home"), ("d", "大脑上"), ("e", "zzz")]
+        got = link.names_inside(spark.createDataFrame(texts, "n int, text string"), spark.createDataFrame(names, "id string, name string")).select("n", "id").collect()
+        assert sorted(map(tuple, got)) == sorted((i, x) for i, t in texts for x, name in names if name.lower() in (t or "").lower())
+
+    @pytest.mark.parametrize("threshold", [0.85, 0.9])
+    def test_similar_names_against_all_pairs(self, spark, threshold):
+        """No pair is lost by the rare grams, whatever the letters and days."""
+        rng = random.Random(7)
+        words = ["".join(rng.choices("abcd", k=rng.randint(1, 9))) for _ in range(60)]
+        for w in words[:40]:
+            at = rng.randrange(len(w) + 1)
+            words.append(w[:at] + rng.choice("abcdx") + w[at + rng.randint(0, 1) :])
+        rows = [entity(f"{i:03}", rng.choice(["fact", "risk"]), w, days=rng.randrange(60)) for i, w in enumerate(words)] + [entity(x, "fact", "aaaaaaaa" + "b" * k) for k, x in enumerate("xyz")]
+        rows += [entity(f"L{i}", "fact", "Supplier#0000000" + f"{i:02}") for i in range(12)]
+        got = link.similar_names(spark.createDataFrame(rows, ENTITY), threshold).collect()
+        want = set()
+        for a in rows:
+            for b in rows:
+                near = 0 <= (b[5] - a[5]).days <= 30 and (a[5], a[0]) < (b[5], b[0])
+                if a[1] == b[1] and near and difflib.SequenceMatcher(None, b[2].lower(), a[2].lower()).ratio() >= threshold:
+                    want.add((a[0], b[0]))
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 60
+
     def test_dependencies_skip_short_names(self, spark):
         e = spark.createDataFrame([entity("t", "task", "deploy HomeBrain"), entity("u", "task", "ab 系统")], ENTITY)
         p = spark.createDataFrame([("p", "homebrain"), ("q", "ab"), ("r", "系统")], "id string, name string")
@@ -195,10 +231,12 @@ class TestSearch:
 
     @pytest.mark.parametrize(
         "query, want",
-        [("rule engine", {"a"}), ("rule OR slow", {"a", "b"}), ('"rule engine"', {"a"}), ('"engine rule"', set()), ("fast*", {"a"}), ("type:tech NOT slow", {"a"}), ("resume", {"c"})],
+        [("rule engine", {"a"}), ("rule OR slow", {"a", "b"}), ("name:engine", {"a", "b"}), ("rules NOT engine", set()), ('"rule engine"', {"a"}), ('"engine rule"', set()), ("fast*", {"a"}), ("type:tech NOT slow", {"a"}), ("resume", {"c"})],
     )
     def test_grammar(self, pool, query, want):
-        assert {r.entity_id for r in search.bm25(search.postings(pool), query).collect()} == want
+        from_index = {r.entity_id: r.rank for r in search.bm25(search.postings(pool), query).collect()}
+        assert set(from_index) == want
+        assert {r.entity_id: r.rank for r in search.bm25_scan(pool, query).collect()} == pytest.approx(from_index)
 
     @pytest.mark.parametrize("query", ["", "rule-engine", "proj:a", "50%", "NOT x"])
     def test_not_a_query(self, query):
@@ -206,7 +244,7 @@ class TestSearch:
             search.Query(query)
 
     def test_falls_back_to_text(self, pool):
-        assert [r.id for r in search.keyword(pool, search.postings(pool), "规则引擎", 5).collect()] == ["c"]
+        assert [r.id for r in search.keyword(pool, "规则引擎", 5, search.postings(pool)).collect()] == ["c"]
 
     def test_like_folds_ascii_only(self, spark):
         assert one(spark, tx.like_ascii(F.col("v"), "AB_d"), "xxaBCDxx") and not one(spark, tx.like_ascii(F.col("v"), "É"), "é")
@@ -305,12 +343,96 @@ class TestIngestion:
         again = consolidate(store, [("lab", str(folder))], TODAY)
         assert (again.processed, again.skipped) == (1, 2)  # the file without items comes back
         tools = Knowledge(store, TODAY)
-        hits = tools.knowledge_search("PostgreSQL", entity_type="decision", log=True).collect()
+        hits = tools.knowledge_search("50%", entity_type="decision", log=True).collect()
+        assert hits == []
+        hits = tools.knowledge_search("使用PostgreSQL", entity_type="decision", log=True).collect()
         assert [h.entity_id for h in hits] == ["decision:shiyongpostgresqlcunchu"]
         assert store.read("access_log").count() == 1
         assert {r.status for r in tools.day(dt.date(2026, 3, 3)).collect()} == {"empty"}
         assert tools.knowledge_stats()["totals"].first().entities == len(first)
-        assert tools.knowledge_trace("nowhere at all").count() == 0
+        assert {k: df.count() for k, df in tools.knowledge_trace("nowhere at all").items()} == dict.fromkeys(("entity", "timeline", "related", "decisions"), 0)
+        found = tools.knowledge_trace("decision:shiyongpostgresqlcunchu")
+        assert found["timeline"].first().date == dt.date(2026, 3, 1) and [r.place for r in found["decisions"].collect()] == [0]
+        self.served(store, folder)
+        self.pruned(store)
+
+    def served(self, store, folder):
+        """The same through the server: JSON, clamps, errors."""
+        tools = server.Tools(store, lambda: TODAY, [("lab", str(folder))])
+        said = [
+            {"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"},
+            {"id": 3, "method": "tools/call", "params": {"name": "knowledge_search", "arguments": {"query": "PostgreSQL", "max_results": 999, "offset": -3}}},
+            {"id": 4, "method": "tools/call", "params": {"name": "knowledge_consolidate"}}, {"id": 5, "method": "tools/call", "params": {"name": "none"}},
+            {"id": 6, "method": "resources/read", "params": {"uri": "knowledge://entity/decision:shiyongpostgresqlcunchu"}},
+            {"id": 7, "method": "resources/read", "params": {"uri": "knowledge://days/2026-03-01"}}, {"id": 8, "method": "nothing"},
+            {"id": 9, "method": "tools/call", "params": {"name": "knowledge_trace", "arguments": {"topic": "nowhere at all", "max_depth": 99}}},
+            {"id": 10, "method": "tools/call", "params": {"name": "knowledge_stats"}}, {"id": 11, "method": "resources/read", "params": {"uri": "knowledge://days/soon"}},
+        ]
+        out = io.StringIO()
+        server.serve(tools, io.StringIO("\n".join([*map(json.dumps, said), "", "not json"])), out)
+        got = {r["id"]: r for r in map(json.loads, out.getvalue().splitlines())}
+        text = lambda i: json.loads(got[i]["result"]["content"][0]["text"])
+        assert set(got) == {1, *range(2, 12), None} and got[None]["error"]["code"] == -32700
+        assert {t["name"] for t in got[2]["result"]["tools"]} == set(server.NAMES) and len(server.NAMES) == 7
+        assert [r["entity_id"] for r in text(3)["results"]] == ["tech:postgresql"] and text(3)["total_hits"] == 1
+        assert got[4]["result"]["isError"] and text(4)["isError"] and got[5]["result"]["isError"] and "error" in text(5)
+        assert {r["from_entity"] for r in json.loads(got[6]["result"]["contents"][0]["text"])["relations"]} == {"decision:shiyongpostgresqlcunchu"}
+        assert len(json.loads(got[7]["result"]["contents"][0]["text"])["files"]) == 1 and got[8]["error"]["code"] == -32601
+        assert text(9) == {"entity": None, "timeline": [], "related": [], "decisions": []}
+        assert text(10)["entities"] == store.read("entities").count() and text(10)["size_mb"] > 0
+        assert json.loads(got[11]["result"]["contents"][0]["text"])["isError"]
+
+    def pruned(self, store):
+        """A dry run writes nothing; a run removes stale projects for good."""
+        before = store.version("entities")
+        assert maintain.maintain(store, TODAY, dry_run=True)["ids"] == 1 and store.version("entities") == before
+        report = maintain.maintain(store, TODAY)
+        assert report["reasons"] == {"stale_provisional": 1}
+        assert report["after"]["entities"] == report["before"]["entities"] - 1
+        assert not {"proj:homebrain"} & {r.id for r in store.read("mentions").collect()}
+        assert embed_again(store, lambda texts: [[1.0] for _ in texts]) == report["after"]["entities"]
+
+    def test_search_filters_before_limits(self, spark):
+        """Fifty facts nearer, and better, than ten risks: five risks are five risks."""
+        rows = [entity(f"f{i:02}", "fact", "alpha", "beta", 0.9, count=9) for i in range(50)] + [entity(f"r{i}", "risk", "alpha", "beta gamma", 0.1) for i in range(10)]
+        rows += [entity(f"p{i}", "project", "alpha", "beta", count=1) for i in range(30)]
+        e = spark.createDataFrame(rows, ENTITY).withColumn("metadata", F.create_map(F.lit("source"), F.when(F.col("id") == "r7", "lab").otherwise("home")))
+        near = spark.createDataFrame([(r[0], [1.0, 0.0 if r[1] != "risk" else 0.5]) for r in rows], "entity_id string, embedding array<float>")
+        tables = Snapshot(entities=e, relations=TestGraphAndStats().edges(spark, ("r1", "r2", 0.5)), vectors=near)
+        for embedder in (None, lambda texts: [[1.0, 0.0]]):
+            know = Knowledge(tables, TODAY, embedder=embedder)
+            ids = lambda **kw: [r.id for r in know.hits("alpha", **kw).collect()]
+            assert len(ids(entity_type="risk", max_results=5)) == 5
+            assert ids(source="lab", max_results=5) == ["r7"]
+            assert not any(i.startswith("p") for i in ids(max_results=100)) and len(ids(max_results=100)) == 60
+            score = {r.id: r.score for r in know.hits("alpha", max_results=100).collect()}
+            assert score["f00"] > score["r0"] > 0.3 or score["r0"] > score["f00"]
+            low, high = sorted((score["f00"], score["r0"]))
+            best = {i[0] for i in ids(min_score=(low + high) / 2, max_results=5)}
+            assert len(best) == 1 and len(ids(min_score=(low + high) / 2, max_results=5)) == 5
+            assert ids(entity_type="risk", max_results=3, offset=8) == ["r8", "r9"]
+
+    def test_edited_files_lose_their_links(self, spark, tmp_path):
+        folder = tmp_path / "notes"
+        folder.mkdir()
+        (folder / "2026-03-01.md").write_text(queries.NOTE_TEXT, encoding="utf-8")
+        (folder / "2026-03-02.md").write_bytes(b"## \xff\xfe")
+        store = Store(spark, str(tmp_path / "store"))
+        run = consolidate(store, [("lab", str(folder))], TODAY)
+        assert (run.processed, run.failed, run.status) == (1, 1, "partial") and "2026-03-02.md" in run.errors[0]
+        assert store.read("relations").count() > 3
+        (folder / "2026-03-01.md").write_text("## 决策与结论\n- 决定使用PostgreSQL存储，已确认\n", encoding="utf-8")
+        (folder / "2026-03-02.md").write_text("## 风险与注意事项\n- 磁带备份存在丢失风险，需要复查\n", encoding="utf-8")
+        run = consolidate(store, [("lab", str(folder))], TODAY)
+        assert (run.processed, run.failed, run.status) == (2, 0, "ok")
+        assert [r.id for r in store.read("relations").collect()] == ["rel:decision:shiyongpostgresqlcunchu->tech:postgresql:RELATES_TO"]
+
+    def test_tools_do_not_need_an_item(self, spark, tmp_path):
+        """An empty store answers with empty results."""
+        tools = server.Tools(Store(spark, str(tmp_path / "none")), lambda: TODAY, [])
+        for name, args in (("knowledge_search", {"query": "x"}), ("active_projects", {}), ("preference_lookup", {}), ("decision_history", {"topic": "x"})):
+            text, bad = server.call(tools, name, args)
+            assert not bad and not any(v for v in json.loads(text).values()), text
 
     def test_missing_folder(self, spark, tmp_path):
         assert consolidate(Store(spark, str(tmp_path / "s")), [("x", str(tmp_path / "none"))], TODAY).processed == 0
@@ -329,3 +451,28 @@ class TestIngestion:
 
 def test_entry(spark):
     assert queries.entry(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def _alone(code: str) -> str:
+    """What ``code`` prints in a process of its own."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    return done.stdout
+
+
+def test_entry_without_the_corpus_operators():
+    """The entry point works without the optional modules, and hides no other fault."""
+    absent = "class No:\n  def find_spec(s, name, *a):\n    if name in ('corpus_pipeline', 'daybook.llm'): raise ModuleNotFoundError(name, name=name)\nsys.meta_path.insert(0, No())\n"
+    count = "import __spark_entry__ as e\nprint(len([q for q in e.queries() if q[:2] == 'op' and q[2].isdigit() or q == 'pipeline']), len(e.queries()) > 80)"
+    assert _alone("import sys\n" + absent + count).split() == ["0", "True"]
+    broken = "class No:\n  def find_spec(s, name, *a):\n    if name == 'xxhash': raise ModuleNotFoundError(name, name=name)\nsys.meta_path.insert(0, No())\n"
+    said = _alone("import sys\n" + broken + "try:\n  import __spark_entry__\n  print('hidden')\nexcept ModuleNotFoundError as e:\n  print('told')")
+    import importlib.util
+
+    if importlib.util.find_spec("daybook.llm") is not None:
+        assert said.strip() == "told"
+
+
+def test_tables_of_expected_values_are_complete():
+    assert {r[0] for r in queries_notes._MENTIONS} == {r[0] for r in queries_notes.ITEMS} - {13, 14}
