@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from daybook.llm.common import HOT_ROWS, hot_keys, hot_limit, spread_join, written
 from daybook.llm.language_model import _LOWER, _mixed, word_keys
 
-BATCH_WORDS = 1_000_000
+BATCH_WORDS = 400_000
 
 
 class _Words(dict):
@@ -232,7 +232,7 @@ def _apart(postings: DataFrame, labels: DataFrame, graph: _Graph, width: int, li
     return graph.estimated(pairs, {}).unionAll(_blocks(own.filter(F.col("all") > SMALL_LIST), graph, width))
 
 
-def overlaps(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, step: int = 4096) -> np.ndarray:
+def overlaps(values: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, step: int = 1024) -> np.ndarray:
     """How many values each of the rows ``left`` has in common with each of ``right``; rows
     are ``sizes`` values each. A value that a row has twice counts for both, so that halves
     which two values of a text share never lower an overlap."""
