@@ -8,8 +8,9 @@ in the phrase, are intersected in order of length, so a phrase dies at its rares
 term. No posting is shuffled, and a term found in every document only lengthens lists that
 are searched, not scanned.
 
-Test phrases reach the workers in blocks of bounded bytes (``block_bytes``); a larger test
-set is run block by block against all segments and the matches are put together after.
+Test phrases reach the workers in blocks of at most ``block_words`` words, and so windows; a
+larger test set is run block by block against all segments, and what each block hits in a
+document, as spans and items, is put together after.
 
 Defined cases. Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.
 Null or empty text has no words and no match. Items without words, or with a null id, have
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ from daybook.llm.common import written
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
+#: A window takes some 800 bytes in a worker.
+BLOCK_WORDS = 100_000
 INDEX_SCHEMA = "doc_ids array<bigint>, bases binary, terms binary, starts binary, postings binary"
 
 
@@ -177,8 +181,8 @@ class Windows:
                     yield at, length, items
 
 
-def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """Items as words, in lists of at most ``block_bytes`` of text (or one item)."""
+def item_blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """Items as words, in lists of at most ``block_words`` words (or one item)."""
     rows = (
         items.select(F.col("item_id").cast("bigint"), F.col("text").cast("binary"))
         .filter("item_id IS NOT NULL AND text IS NOT NULL")
@@ -186,11 +190,12 @@ def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
     )
     block, size = [], 0
     for item, text in rows.toLocalIterator():
-        if block and size + len(text) > block_bytes:
+        words = words_of(bytes(text))
+        if block and size + len(words) > block_words:
             yield block
             block, size = [], 0
-        block.append((item, words_of(bytes(text))))
-        size += len(text)
+        block.append((item, words))
+        size += len(words)
     if block:
         yield block
 
@@ -204,11 +209,11 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[Segment]:
 MATCH_SCHEMA = "segment string, doc int, doc_id bigint, n_words bigint, item_id bigint, start bigint, length int"
 
 
-def phrase_matches(index: DataFrame, items: DataFrame, window: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
+def phrase_matches(index: DataFrame, items: DataFrame, window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Every occurrence of an item's window: ``doc_id``, ``item_id``, first word ``start``
     (from 0 in its document) and ``length``; ``segment`` and ``doc`` name the row."""
     out = None
-    for block in item_blocks(items, block_bytes):
+    for block in item_blocks(items, block_words):
         part = _matches(index, block, window)
         out = part if out is None else out.unionAll(part)
     return out if out is not None else index.sparkSession.createDataFrame([], MATCH_SCHEMA)
@@ -227,7 +232,7 @@ def _matches(index: DataFrame, block: list, window: int) -> DataFrame:
                     n = len(at)
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "segment": pa.array([name] * n),
+                            "segment": pa.array([name] * n, pa.string()),
                             "doc": pa.array(doc, pa.int32()),
                             "doc_id": pa.array([seg.doc_ids[d] for d in doc], pa.int64()),
                             "n_words": pa.array(seg.bases[doc + 1] - seg.bases[doc] - 1),
@@ -240,11 +245,11 @@ def _matches(index: DataFrame, block: list, window: int) -> DataFrame:
     return index.mapInArrow(search, MATCH_SCHEMA)
 
 
-def proximity_matches(index: DataFrame, items: DataFrame, slop: int = 20, block_bytes: int = 16 << 20) -> DataFrame:
+def proximity_matches(index: DataFrame, items: DataFrame, slop: int = 20, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``doc_id``, ``item_id`` and ``start`` of the item's rarest term wherever all other
     terms of the item stand within ``slop`` words of it in the same document."""
     schema, out = "doc_id bigint, item_id bigint, start bigint", None
-    for block in item_blocks(items, block_bytes):
+    for block in item_blocks(items, block_words):
         shared = index.sparkSession.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -279,26 +284,33 @@ def proximity_matches(index: DataFrame, items: DataFrame, slop: int = 20, block_
 SUMMARY_SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, item_ids array<bigint>"
 
 
-def summarize(index: DataFrame, items: DataFrame, window: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
+def _document_hits(tests: Windows, seg: Segment) -> tuple[np.ndarray, dict[int, set[int]]]:
+    """(for each position of the segment whether it is hit, items by document)."""
+    edges = np.zeros(int(seg.bases[-1]) + 1, np.int32)
+    found: dict[int, set[int]] = {}
+    for at, length, items in tests.occurrences(seg):
+        np.add.at(edges, at, 1)
+        np.add.at(edges, at + length, -1)
+        for d in np.unique(seg.doc_of(at)):
+            found.setdefault(int(d), set()).update(items)
+    return np.cumsum(edges) > 0, found
+
+
+def summarize(index: DataFrame, items: DataFrame, window: int = 13, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document: words, words inside any occurrence of a window, and the items
     that have one, in ascending order."""
-    blocks = item_blocks(items, block_bytes)
+    blocks = item_blocks(items, block_words)
     first, second = next(blocks, []), next(blocks, None)
     if second is not None:
-        return _summarize_large(index, phrase_matches(index, items, window, block_bytes))
+        parts = [_block_hits(index, block, window) for block in (first, second, *blocks)]
+        return _summarize_large(index, reduce(DataFrame.unionAll, parts))
     shared = index.sparkSession.sparkContext.broadcast(first)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = Windows(shared.value, window)
         for seg in _segments(batches):
-            edges = np.zeros(int(seg.bases[-1]) + 1, np.int32)
-            found: dict[int, set[int]] = {}
-            for at, length, items in tests.occurrences(seg):
-                np.add.at(edges, at, 1)
-                np.add.at(edges, at + length, -1)
-                for d in np.unique(seg.doc_of(at)):
-                    found.setdefault(int(d), set()).update(items)
-            hits = np.concatenate([[0], np.cumsum(np.cumsum(edges) > 0)])
+            hit, found = _document_hits(tests, seg)
+            hits = np.concatenate([[0], np.cumsum(hit)])
             n = len(seg.doc_ids)
             yield pa.RecordBatch.from_pydict(
                 {
@@ -312,9 +324,38 @@ def summarize(index: DataFrame, items: DataFrame, window: int = 13, block_bytes:
     return index.mapInArrow(search, SUMMARY_SCHEMA)
 
 
+def _block_hits(index: DataFrame, block: list, window: int) -> DataFrame:
+    """What one block of items hits: spans of words that are hit, joined where they touch, and
+    the items, each once a document. A row has a span or an item."""
+    shared = index.sparkSession.sparkContext.broadcast(block)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests = Windows(shared.value, window)
+        for seg in _segments(batches):
+            name = hashlib.md5(seg.bases.tobytes() + repr(seg.doc_ids).encode()).hexdigest()
+            hit, found = _document_hits(tests, seg)
+            turns = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+            start, end = np.flatnonzero(turns > 0), np.flatnonzero(turns < 0)
+            doc = seg.doc_of(start)
+            pairs = [(d, i) for d, items in sorted(found.items()) for i in sorted(items)]
+            docs = np.concatenate([doc, np.array([d for d, _ in pairs], np.int64)])
+            none = [None] * len(pairs)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "segment": pa.array([name] * len(docs), pa.string()),
+                    "doc": pa.array(docs, pa.int32()),
+                    "start": pa.array([*(start - seg.bases[doc]).tolist(), *none], pa.int64()),
+                    "length": pa.array([*(end - start).tolist(), *none], pa.int32()),
+                    "item_id": pa.array([*[None] * len(start), *(i for _, i in pairs)], pa.int64()),
+                }
+            )
+
+    return index.mapInArrow(search, "segment string, doc int, start bigint, length int, item_id bigint")
+
+
 def _summarize_large(index: DataFrame, matches: DataFrame) -> DataFrame:
-    """The same from match rows, for test sets of several blocks: overlapping matches of one
-    document are merged by a running maximum of their ends."""
+    """The same from the hits of several blocks: overlapping spans of one document are merged
+    by a running maximum of their ends."""
     from pyspark.sql import Window
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +364,7 @@ def _summarize_large(index: DataFrame, matches: DataFrame) -> DataFrame:
             name = hashlib.md5(seg.bases.tobytes() + repr(seg.doc_ids).encode()).hexdigest()
             yield pa.RecordBatch.from_pydict(
                 {
-                    "segment": pa.array([name] * n),
+                    "segment": pa.array([name] * n, pa.string()),
                     "doc": pa.array(range(n), pa.int32()),
                     "doc_id": pa.array(seg.doc_ids, pa.int64()),
                     "n_words": pa.array(np.diff(seg.bases) - 1),
@@ -336,12 +377,12 @@ def _summarize_large(index: DataFrame, matches: DataFrame) -> DataFrame:
     rows = rows.groupBy("segment", "doc", "doc_id", "n_words").agg(F.count(F.lit(1)).alias("times"))
     end = F.col("start") + F.col("length")
     before = Window.partitionBy(*key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    spans = matches.groupBy(*key, "start").agg(F.max("length").alias("length"))
+    spans = matches.filter("start IS NOT NULL").groupBy(*key, "start").agg(F.max("length").alias("length"))
     spans = spans.withColumn("done", F.coalesce(F.max(end).over(before), F.lit(0)))
     hit = spans.groupBy(*key).agg(
         F.sum(F.greatest(F.lit(0), end - F.greatest("start", "done"))).alias("n_hit")
     )
-    items = matches.groupBy(*key).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    items = matches.filter("item_id IS NOT NULL").groupBy(*key).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     return (
         rows.join(hit, key, "left")
         .join(items, key, "left")

@@ -94,11 +94,11 @@ def _hits(text, items, window=13):
 ITEMS = [(7, ITEM), (7, "tau upsilon phi"), (8, "upsilon PHI"), (9, None), (10, "  "), (None, "w1 w2")]
 
 
-@pytest.mark.parametrize("segment, block", [(2_000_000, 1 << 24), (500, 40)])
+@pytest.mark.parametrize("segment, block", [(2_000_000, 100_000), (500, 4)])
 def test_decontamination(spark, docs, segment, block):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     index = decontaminate.build_index(docs, segment_words=segment)
-    got = decontaminate.summarize(index, items, window=13, block_bytes=block)
+    got = decontaminate.summarize(index, items, window=13, block_words=block)
     known = [i for i in ITEMS if i[0] is not None]
     want = bag((r[0], *_hits(r[1], known)) for r in ROWS)
     assert bag((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in got.collect()) == want
