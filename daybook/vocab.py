@@ -28,6 +28,7 @@ TAG_TYPES = {
     "创意": "idea",
     "关键讨论": "fact",
 }
+#: Task status by tag.
 TAG_STATUS = {"已完成": "completed", "待办": "todo"}
 #: Titles of raw and summary subsections.
 RAW_TITLES = ("原始细节", "original", "raw")
@@ -51,6 +52,7 @@ CO_OCCURRENCE = (
     ("idea", "project"),
     ("idea", "decision"),
 )
+#: Limits of the gates, of links a file, of embedding batches, of names sought in texts.
 PROJECT_MIN_DAYS = 2
 PROJECT_GRACE_DAYS = 14
 MAX_RELATIONS_PER_FILE = 500
@@ -102,6 +104,7 @@ GARBAGE_PATTERNS = (
     "pending 子会话",
     "DAILY 检查",
 )
+#: Words of operations logs; clock times, durations and signs that are no names.
 OPS_KEYWORDS = "(?i)(?:cron|backup|dreaming|daily.memory|crontab|UTC\\d{1,2}:\\d{2})"
 CLOCK_UTC = "^\\d{1,2}:\\d{2}\\s+UTC"
 CLOCK_BRACKET = "^\\[\\d{1,2}:\\d{2}\\]"
@@ -109,6 +112,7 @@ DURATION = "^[\\d\\-~至到]+[hHdDwW月年天周）)]?$|^[\\d.]+\\s*[hHdDwW月
 NAME_PUNCTUATION = "^[（）()\"'\\[\\]{}【】，。！？、；：…·*]+$"
 #: Technical words too general to keep.
 TECH_COMMON = "AI API LLM CLI UTC JSON YAML HTML HTTP SQL URL CSS XML SSH SSL TLS DNS CPU GPU RAM SSD OS IP TCP UDP".split()
+#: Dates and priorities, and English words, that only look like terms.
 TECH_STRUCTURAL = "^(?:\\d{4}[_-]\\d{2}(?:[_-]\\d{2})?|P[0-3])$"
 TECH_ENGLISH = "the and for are was all can has had not but our you his her its who how new now one two ten get set put use".split()
 #: The six patterns of technical terms in their order, with the least length.
@@ -126,11 +130,12 @@ PROJECT_PATTERNS = ("([A-Z][A-Za-z0-9]+)\\s*项目", "([一-鿿]{2,12})项目",
 PROJECT_VERBS = ("启动", "完成", "决定", "开始", "上线", "推进", "继续", "完成了")
 PROJECT_STRUCTURAL = ("基于", "作为", "采用", "使用", "通过", "包含", "利用", "按照", "针对", "关于")
 PROJECT_NON_NAME = "的了为而非是这那个全部所必须按把被与和或让使其此即则等着过得无有归匹配声称完倾向强调修改注立成类该项偏"
-#: Patterns of decisions, preferences, risks and tasks.
+#: Patterns of decisions, preferences, risks and tasks, and how a clause ends.
 CLAUSE = "(?:[，,。；;]|$)"
 DECISION_PATTERNS = (f"决定(.+?){CLAUSE}", "采用(.+?)方案", f"放弃(.+?){CLAUSE}", f"选择(.+?){CLAUSE}")
 PREFERENCE_PATTERNS = (f"用户(?:偏好|倾向|喜欢|习惯)(.+?){CLAUSE}", f"用户要求(.+?){CLAUSE}")
 RISK_PATTERNS = ("(.+?)风险", "(.+?)注意", "(.+?)避免", "(.+?)可能导致(.+)")
 DONE_PATTERNS = (f"完成了(.+?){CLAUSE}", f"实现了(.+?){CLAUSE}", f"部署了(.+?){CLAUSE}", f"已(?:完成|实现|部署)(.+?){CLAUSE}")
 TODO_PATTERNS = (f"后续(.+?){CLAUSE}", f"计划(.+?){CLAUSE}", f"预计(.+?){CLAUSE}", f"待(?:办|完成|处理)(.+?){CLAUSE}")
+#: Signs that no term has.
 CJK_SIGNS = "[、，。：；！？「」『』《》（）()…—·]"
