@@ -537,7 +537,13 @@ def parse_note(spark, sf):
     return note_files.parse(note_files_frame(spark, sf)).select("section_title", "category", "text", "time", "line_start", "line_end", "skip_extraction", "tag")
 
 
-@query()
+@query(
+    """SELECT id, type, name, status, nth::INT AS nth FROM (VALUES ('decision:shiyongpostgresqlcunchu', 'decision', '使用PostgreSQL存储', NULL, 1), ('decision:shiyongpostgresqlcunchu', 'decision', '使用PostgreSQL存储', NULL, 2),
+    ('tech:postgresql', 'tech', 'PostgreSQL', NULL, 1), ('risk:cidaibeifencunzaidiushi', 'risk', '磁带备份存在丢失', NULL, 1), ('risk:cidaibeifencunzaidiushi', 'risk', '磁带备份存在丢失', NULL, 2),
+    ('task:wancheng_esp32wangguan', 'task', 'ESP32网关', 'completed', 1), ('tech:esp32', 'tech', 'ESP32', NULL, 1), ('task:esp32wangguan', 'task', 'ESP32网关', 'completed', 1),
+    ('task:jihua_qianyihomebrainxiangmude', 'task', '迁移HomeBrain项目的日志', 'todo', 1), ('proj:homebrain', 'project', 'HomeBrain', NULL, 1), ('tech:homebrain', 'tech', 'HomeBrain', NULL, 1),
+    ('task:qianyihomebrainxiangmuderizhi', 'task', '迁移HomeBrain项目的日志', NULL, 1)) AS v(id, type, name, status, nth)"""
+)
 def extract_note(spark, sf):
     return extract.mentions(note_files.parse(note_files_frame(spark, sf))).select("id", "type", "name", "status", "nth")
 
