@@ -285,7 +285,8 @@ def _blocks(own: DataFrame, graph: _Graph, width: int) -> DataFrame:
     fine = graph.sets.select("node", F.size("members").alias("n"), marks.alias("sketch"))
     # At most as many lists as a node has retained values.
     where = own.groupBy("node").agg(F.collect_set("value").alias("listed"))
-    cells = cells.join(fine, "node").join(where, "node").select("value", "x.*", "node", "label", "n", "sketch", "listed")
+    # A node's values and lists meet once, and only then its cells.
+    cells = cells.join(fine.join(where, "node"), "node").select("value", "x.*", "node", "label", "n", "sketch", "listed")
     most, percent, common = graph.fine, graph.percent, least_common(graph.fine, graph.percent)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
