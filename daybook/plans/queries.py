@@ -118,9 +118,10 @@ def access_counts(spark, sf):
     return rollup.access_counts(t.table(spark, sf, "events").select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("entity_id")))
 
 
-@query(f"WITH {ENT}, {REL} SELECT id FROM ent WHERE NOT EXISTS (SELECT 1 FROM rel WHERE from_entity = ent.id OR to_entity = ent.id)")
+@query(f"WITH {ENT}, {REL} SELECT id FROM ent WHERE NOT EXISTS (SELECT 1 FROM rel WHERE rel_type = 'DEPENDS_ON' AND (from_entity = ent.id OR to_entity = ent.id))")
 def orphan_entities(spark, sf):
-    return ids(stats.orphans(t.entities(spark, sf), t.relations(spark, sf)))
+    """Entities at neither end of a dependency."""
+    return ids(stats.orphans(t.entities(spark, sf), t.relations(spark, sf).filter("rel_type = 'DEPENDS_ON'")))
 
 
 @query(
@@ -311,11 +312,12 @@ def related_top5(spark, sf):
 
 
 @query(
-    f"WITH {ENT}, {REL} SELECT id, from_entity, to_entity, round(weight, 6) AS weight FROM rel WHERE from_entity IN (SELECT id FROM ent WHERE type = 'task') OR to_entity IN (SELECT id FROM ent WHERE type = 'task')"
+    f"WITH {ENT}, {REL} SELECT id, from_entity, to_entity, round(weight, 8) AS weight FROM rel WHERE from_entity IN (SELECT id FROM ent WHERE type = 'task') OR to_entity IN (SELECT id FROM ent WHERE type = 'task')"
 )
 def edges_of_tasks(spark, sf):
     nodes = t.entities(spark, sf).filter("type = 'task'").select(F.col("id").alias("node"))
-    return graph.touching(t.relations(spark, sf), nodes).select("id", "from_entity", "to_entity", F.round("weight", 6).alias("weight"))
+    # A weight is a price in cents over 500,000: eight decimals are exact.
+    return graph.touching(t.relations(spark, sf), nodes).select("id", "from_entity", "to_entity", F.round("weight", 8).alias("weight"))
 
 
 def _cross(spark, sf) -> DataFrame:
