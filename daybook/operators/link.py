@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,28 +80,28 @@ def _grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n)))
 
 
-def names_inside(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """``texts`` (with ``text``) joined with ``names`` (id, name) that stand in them, whatever
+def names_inside(texts: DataFrame, names: DataFrame, fields: tuple[str, ...] = ("text",)) -> DataFrame:
+    """``texts`` joined with ``names`` (id, name) that stand in one of their ``fields``, whatever
     the case. Names are counted first: few go to all texts; many meet only the texts that
     hold the name's rarest three letters. Names have three letters or more."""
-    low = F.lower("text")
+    low = [F.lower(F.coalesce(f, F.lit(""))) for f in fields]
+    inside = reduce(or_, (x.contains(F.col("__name")) for x in low))
     own = names.select("id", F.lower("name").alias("__name"))
     if own.count() <= SENT_NAMES:
-        return texts.join(F.broadcast(own), low.contains(F.col("__name"))).drop("__name")
+        return texts.join(F.broadcast(own), inside).drop("__name")
     own = own.withColumn("__gram", F.explode(_grams(F.col("__name"), 3)))
-    held = texts.withColumn("__gram", F.explode(_grams(low, 3)))
+    held = texts.withColumn("__gram", F.explode(F.array_distinct(F.concat(*(_grams(x, 3) for x in low)))))
     often = held.join(own.select("__gram").distinct(), "__gram", "left_semi").groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
     own = own.join(often, "__gram", "left").groupBy("id", "__name").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)), "__gram")).alias("__rarest"))
     own = own.select("id", "__name", F.col("__rarest.__gram").alias("__gram"))
-    return held.join(own, "__gram").filter(low.contains(F.col("__name"))).drop("__gram", "__name")
+    return held.join(own, "__gram").filter(inside).drop("__gram", "__name")
 
 
 def dependencies(entities: DataFrame, projects: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """Entities of other types whose name or summary holds a project's name (0.8), with the
     columns ``carried`` of the entities before them."""
-    text = F.concat_ws("\n", "name", "summary")
-    own = entities.filter("type <> 'project'").select(*carried, F.col("id").alias("e_id"), text.alias("text"))
-    pairs = names_inside(own, searchable(projects.select("id", "name"))).filter("e_id <> id")
+    own = entities.filter("type <> 'project'").select(*carried, F.col("id").alias("e_id"), F.col("name").alias("e_name"), "summary")
+    pairs = names_inside(own, searchable(projects.select("id", "name")), ("e_name", "summary")).filter("e_id <> id")
     return pairs.select(*carried, *relation("e_id", "id", F.lit("DEPENDS_ON"), F.lit(0.8), F.lit("name_mention")))
 
 

@@ -179,6 +179,14 @@ class TestLinks:
         p = spark.createDataFrame([("p", "homebrain"), ("q", "ab"), ("r", "系统")], "id string, name string")
         assert [(r.from_entity, r.to_entity) for r in link.dependencies(e, p).collect()] == [("t", "p")]
 
+    @pytest.mark.parametrize("sent", [2000, 0])
+    def test_dependencies_stand_in_one_field(self, spark, monkeypatch, sent):
+        """A name that goes on over a line's end is not put together from name and summary."""
+        monkeypatch.setattr(link, "SENT_NAMES", sent)
+        e = spark.createDataFrame([entity("t", "task", "to Home", "Brain x"), entity("u", "task", "x", "a home\nbrain"), entity("v", "task", "home\nbrain", None)], ENTITY)
+        p = spark.createDataFrame([("p", "Home\nBrain")], "id string, name string")
+        assert {r.from_entity for r in link.dependencies(e, p).collect()} == {"u", "v"}
+
     def test_similar_names_chain(self, spark):
         rows = [entity("a", "fact", "database backup plan", days=3), entity("b", "fact", "database backup plans", days=2), entity("c", "fact", "unrelated"), entity("d", "task", "database backup plan")]
         pairs = link.similar_names(spark.createDataFrame(rows, ENTITY))
