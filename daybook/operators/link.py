@@ -114,9 +114,10 @@ def _shared_at_least(length: Column, threshold: float) -> Column:
     return F.greatest(F.lit(1), F.ceil(length * F.lit(whole) - 1 - 1e-9)).cast("int")
 
 
-def similar_names(entities: DataFrame, threshold: float = 0.85, days: int = 30) -> DataFrame:
+def similar_names(entities: DataFrame, threshold: float = 0.85, days: int = 30, of: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b, ratio) of one type first seen within ``days`` of one another whose names
-    match by ``threshold`` whatever their case, a the earlier.
+    match by ``threshold`` whatever their case, a the earlier; b among ``of`` (type, id) where
+    given.
 
     A name is listed under its rarest grams only, as many as must hold one that the two
     share, so that grams that many names have bring nobody together; lists are cut by spans
@@ -135,6 +136,8 @@ def similar_names(entities: DataFrame, threshold: float = 0.85, days: int = 30)
     listed = listed.withColumn("span", F.floor(F.datediff("first_seen", F.lit("1970-01-01").cast("date")) / (days + 1)))
     cols = ("id", "name", "first_seen", "len")
     a = listed.select("type", "gram", F.explode(F.array("span", F.col("span") + 1)).alias("span"), *(F.col(c).alias(f"a_{c}") for c in cols))
+    if of is not None:
+        listed = listed.join(of.select("type", "id"), ["type", "id"], "left_semi")
     b = listed.select("type", "gram", "span", *(F.col(c).alias(f"b_{c}") for c in cols))
     earlier = F.struct("a_first_seen", "a_id") < F.struct("b_first_seen", "b_id")
     near = F.datediff("b_first_seen", "a_first_seen").between(0, days)
@@ -145,6 +148,88 @@ def similar_names(entities: DataFrame, threshold: float = 0.85, days: int = 30)
     )
 
 
+#: Names up to this length are also met by two letters left out, longer ones by grams.
+SHORT_NAME = 20
+
+
+def _left_out(name: Column) -> Column:
+    """The name, and the name without each one of its letters."""
+    return F.array_distinct(F.concat(F.array(name), F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.overlay(name, F.lit(""), i, F.lit(1)))))
+
+
+def _pairs_left_out(own: DataFrame, sought: DataFrame, letters: int, threshold: float, days: int) -> DataFrame:
+    """Pairs of ``own`` (a) and ``sought`` (b) that are equal where each leaves out up to
+    ``letters``, a the earlier, with b's ``ratio``. Lists hold different names that are so much
+    alike, so their lengths do not follow the number of rows."""
+
+    def listed(df: DataFrame, spans: Column) -> DataFrame:
+        rest = _left_out(F.col("name"))
+        for _ in range(letters - 1):
+            rest = F.array_distinct(F.flatten(F.transform(rest, _left_out)))
+        # The other name is at least as long as what is left.
+        rest = F.filter(rest, lambda v: 2 * F.length(v) >= threshold * (F.length(v) + F.col("len")) - 1e-9)
+        cut = df.select("type", "id", "day", "len", spans.alias("span"), F.explode(rest).alias("rest"))
+        return cut.select("type", "id", "day", "len", F.length("rest").alias("left"), F.xxhash64("type", "span", "rest").alias("key"))
+
+    span = F.floor(F.col("day") / (days + 1))
+    first = own.agg(F.min(span)).first()[0]
+    a = listed(own, span).select("key", *(F.col(c).alias(f"a_{c}") for c in ("type", "id", "day", "len")))
+    spans = sought.withColumn("at", F.explode(F.filter(F.array(span, span - 1), lambda x: x >= F.lit(first))))
+    b = listed(spans, F.col("at")).select("key", "left", *(F.col(c).alias(f"b_{c}") for c in ("type", "id", "day", "len")))
+    earlier = (F.struct("a_day", "a_id") < F.struct("b_day", "b_id")) & (F.col("a_day") >= F.col("b_day") - days) & (F.col("a_type") == F.col("b_type"))
+    alike = 2 * F.col("left") >= threshold * (F.col("a_len") + F.col("b_len")) - 1e-9
+    pairs = a.join(b, "key").filter(earlier & alike).select(F.col("a_type").alias("type"), "a_id", "b_id").distinct()
+    for s, df in (("a", own), ("b", sought)):
+        pairs = pairs.join(df.select("type", F.col("id").alias(f"{s}_id"), F.col("name").alias(f"{s}_name")), ["type", f"{s}_id"])
+    return pairs.select("type", F.col("a_id").alias("a"), F.col("b_id").alias("b"), matching_ratio("b_name", "a_name").alias("ratio")).filter(F.col("ratio") >= threshold)
+
+
+def nearest_earlier(entities: DataFrame, threshold: float = 0.85, days: int = 30) -> DataFrame:
+    """Of ``similar_names``, for each b the pair of the greatest ratio, and among those the one
+    of the least a, without making the others: (a, b, ratio).
+
+    Equal names of one day are one, known by its least id, and equal names meet first. Then
+    names meet that are equal but for one letter on each side, then two (short names): a b
+    goes on only while a name of a length that is there could match it as well as the best
+    found. What is left meets through rare grams."""
+    own = entities.select("id", "type", F.lower("name").alias("name"), "first_seen").filter("length(name) > 0 AND first_seen IS NOT NULL")
+    before = Window.partitionBy("type", "name").orderBy("day").rangeBetween(-days, -1)
+    one = own.groupBy("type", "name", "first_seen").agg(F.min("id").alias("id"))
+    one = one.withColumns({"day": F.datediff("first_seen", F.lit("1970-01-01").cast("date")), "len": F.length("name")})
+    one = kept(one.withColumn("same", F.min("id").over(before)))
+    equal = own.join(one.select("type", "name", "first_seen", "same", F.col("id").alias("least")), ["type", "name", "first_seen"])
+    equal = equal.withColumn("a", F.least(F.when(F.col("least") < F.col("id"), F.col("least")), "same")).filter("a IS NOT NULL")
+    equal = equal.select("a", F.col("id").alias("b"), F.lit(1.0).alias("ratio")).distinct()
+    lengths = one.groupBy("type").agg(F.collect_set("len").alias("lengths"))
+    sought = one.filter("same IS NULL").join(lengths, "type")
+    best = None
+    for letters in (1, 2, None):
+        if letters is None:
+            found = similar_names(one, threshold, days, sought)
+            found = found.join(sought.select("type", F.col("id").alias("b")), "b")
+        else:
+            most = SHORT_NAME if letters > 1 else 2**31 - 1
+            mine = one.filter(F.col("len") <= most).join(sought.select("type").distinct(), "type", "left_semi")
+            found = _pairs_left_out(mine, sought.filter(F.col("len") <= most), letters, threshold, days)
+        best = found if best is None else best.unionByName(found)
+        best = kept(best.groupBy("type", "b").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "a")).alias("x")).select("type", "b", F.col("x.a").alias("a"), (-F.col("x.r")).alias("ratio")))
+        if letters is None:
+            break
+
+        def could(other: Column, done: int = letters) -> Column:
+            """The greatest ratio of a pair that did not meet: the longer one keeps more out."""
+            longer, shorter = F.greatest(other, "len"), F.least(other, "len")
+            out = done + 1 if done == 1 else F.when(longer <= SHORT_NAME, done + 1).otherwise(2)
+            return 2 * F.least(shorter, longer - out) / (other + F.col("len"))
+
+        reached = F.greatest(F.coalesce("ratio", F.lit(0.0)), F.lit(threshold)) - 1e-9
+        after = sought.join(best.select("type", F.col("b").alias("id"), "ratio"), ["type", "id"], "left")
+        sought = kept(after.filter(F.exists("lengths", lambda x: could(x) >= reached)).drop("ratio"))
+        if sought.isEmpty():
+            break
+    return equal.unionByName(best.select("a", "b", "ratio"))
+
+
 def confirmed_by_vectors(pairs: DataFrame, vectors: DataFrame, sure: float = 0.85, least: float = 0.85) -> DataFrame:
     """Of pairs (a, b, ratio), those that match by ``sure`` and those below it whose vectors
     (entity_id, embedding) have a cosine of at least ``least``."""

@@ -83,14 +83,18 @@ def links_of(mentions: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def similar_pairs(mentions: DataFrame, store: Store, embedder: Callable | None) -> DataFrame:
-    """Pairs of ids that are one entity: names alike by 0.85, or by 0.70 where the vectors of
-    both are neighbours (an embedder given; vectors missing are made first)."""
+    """Pairs of ids that are one entity: an id with the earlier one whose name is most alike, by
+    0.85; where there is none, those alike by 0.70 whose vectors are neighbours (an embedder
+    given; vectors missing are made first)."""
     latest = F.struct("date", "file_name", (-F.col("nth")).alias("n"))
     whole = rollup.rollup(mentions, {"name": F.max_by("name", latest), "summary": F.max_by("summary", latest)})
+    sure = link.nearest_earlier(whole)
     if embedder is None:
-        return link.similar_names(whole)
+        return sure
+    sure = kept(sure)
     embed_missing(store, whole, embedder)
-    return link.confirmed_by_vectors(link.similar_names(whole, 0.70), store.read("vectors"))
+    rest = whole.join(sure.select(F.col("b").alias("id")), "id", "left_anti")
+    return sure.unionByName(link.confirmed_by_vectors(link.similar_names(whole, 0.70, of=rest), store.read("vectors")))
 
 
 def embed_missing(store: Store, entities: DataFrame, embedder: Callable) -> None:

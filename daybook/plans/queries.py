@@ -418,7 +418,7 @@ def similarity_merge(spark, sf):
             F.col(f"{x}_name").alias("name"), F.lit(D).alias("first_seen"),
         )
 
-    return link.merge_map(link.similar_names(named("supplier", "s", "s_suppkey").unionAll(named("customer", "c", "c_custkey"))))
+    return link.merge_map(link.nearest_earlier(named("supplier", "s", "s_suppkey").unionAll(named("customer", "c", "c_custkey"))))
 
 
 # --- terms and names -------------------------------------------------------------------

@@ -10,6 +10,7 @@ import re
 import subprocess
 import sys
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +180,40 @@ class TestLinks:
         p = spark.createDataFrame([("p", "homebrain"), ("q", "ab"), ("r", "系统")], "id string, name string")
         assert [(r.from_entity, r.to_entity) for r in link.dependencies(e, p).collect()] == [("t", "p")]
 
+    @pytest.mark.parametrize("short", [20, 5])
+    def test_nearest_earlier_is_the_best_of_all_pairs(self, spark, monkeypatch, short):
+        """Whatever stage a name is met in, and with copies of names on one day and on several."""
+        monkeypatch.setattr(link, "SHORT_NAME", short)
+        rng = random.Random(11)
+        words = [f"Customer#{rng.randrange(3000):06}" for _ in range(50)] + ["".join(rng.choices("abc", k=rng.randint(1, 30))) for _ in range(50)]
+        for w in words[30:90] * 2:
+            at = rng.randrange(len(w) + 1)
+            words.append(w[:at] + "".join(rng.choices("abX", k=rng.randint(0, 3))) + w[at + rng.randint(0, 3) :])
+        rows = [entity(f"{i:03}", rng.choice(["fact", "risk"]), w, days=rng.choice([0, 0, 5, 29, 45, 70])) for i, w in enumerate(words + words[:60] + [""])]
+        want = {}
+        for b in rows:
+            near = [a for a in rows if a[1] == b[1] and a[2] and 0 <= (b[5] - a[5]).days <= 30 and (a[5], a[0]) < (b[5], b[0])]
+            ratios = [(difflib.SequenceMatcher(None, b[2].lower(), a[2].lower()).ratio(), a[0]) for a in near]
+            best = min(((-r, a) for r, a in ratios if r >= 0.85), default=None)
+            if b[2] and best:
+                want[b[0]] = (best[1], -best[0])
+        got = link.nearest_earlier(spark.createDataFrame(rows, ENTITY)).collect()
+        assert {r.b: (r.a, r.ratio) for r in got} == want and len(got) == len(want) > 60
+
+    def test_nearest_earlier_makes_no_pairs_of_all_copies(self, spark, monkeypatch):
+        """Names numbered in one form: few pairs are compared, and one row comes out for each."""
+        compared = spark.sparkContext.accumulator(0)
+
+        @F.pandas_udf("double")
+        def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+            compared.add(len(a))
+            return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+
+        monkeypatch.setattr(link, "matching_ratio", counted)
+        rows = [entity(f"{i:04}", "fact", f"Customer#{i % 400:09}") for i in range(2000)]
+        got = link.nearest_earlier(spark.createDataFrame(rows, ENTITY)).collect()
+        assert len(got) == 1999 and compared.value < 20_000  # of 79,800 pairs of names and 1,999,000 of rows
+
     @pytest.mark.parametrize("sent", [2000, 0])
     def test_dependencies_stand_in_one_field(self, spark, monkeypatch, sent):
         """A name that goes on over a line's end is not put together from name and summary."""
