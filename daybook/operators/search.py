@@ -23,17 +23,44 @@ def terms(text: Column) -> Column:
 def postings(entities: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """The inverted index, to be stored: (entity_id, field, term, tf, positions, len), where
     ``len`` is the entity's number of words. Each entity has one row of an empty field and
-    term besides, so that totals and lengths are read from the index alone."""
-    lists = [terms(F.col(f)).alias(f"t_{f}") for f in fields]
-    words = entities.select(F.col("id").alias("entity_id"), *lists)
-    words = words.withColumn("len", sum((F.size(f"t_{f}") for f in fields), F.lit(0)).cast("bigint"))
-    own = words.select("entity_id", F.lit("").alias("field"), F.lit("").alias("term"), F.col("len").alias("tf"), F.array().cast("array<int>").alias("positions"), "len")
-    parts = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"t_{f}").alias("terms")) for f in fields))
-    each = words.select("entity_id", "len", F.explode(parts).alias("x")).select("entity_id", "len", "x.field", F.posexplode("x.terms").alias("pos", "term"))
-    rows = each.groupBy("entity_id", "field", "term").agg(
-        F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.max("len").alias("len")
+    term besides, so that totals and lengths are read from the index alone.
+
+    An entity's words are counted where its row lies, so no word is shuffled. Only where ids
+    are found in several rows (counted first) do the words of those rows meet by id."""
+    many = entities.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("many"))
+    if many.isEmpty():
+        return _postings_of_rows(entities, fields)
+    own = F.col("id").eqNullSafe(F.col("many"))
+    rows = _postings_of_rows(entities.join(many, own, "left_anti"), fields)
+    met = _postings_of_rows(entities.join(many, own, "left_semi"), fields)
+    once = met.filter("term <> ''").groupBy("entity_id", "field", "term").agg(
+        F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"), F.max("len").alias("len")
     )
-    return rows.unionByName(own)
+    return rows.unionByName(once).unionByName(met.filter("term = ''"))
+
+
+def _postings_of_rows(entities: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """The index of each row by itself."""
+    # Arrays of structs, exploded: the optimizer would else copy the splitting into each use of it.
+    words = entities.select(F.col("id").alias("entity_id"), F.explode(F.array(F.struct(*(terms(F.col(f)).alias(f"t_{f}") for f in fields)))).alias("x")).select("entity_id", "x.*")
+    words = words.withColumn("len", sum((F.size(f"t_{f}") for f in fields), F.lit(0)).cast("bigint"))
+    placed = (F.sort_array(F.transform(f"t_{f}", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))) for f in fields)
+    parts = F.array(F.struct(F.lit("").alias("field"), F.array().cast("array<struct<term:string,pos:int>>").alias("s")), *(F.struct(F.lit(f).alias("field"), p.alias("s")) for f, p in zip(fields, placed, strict=True)))
+    each = words.select("entity_id", "len", F.explode(parts).alias("x")).select("entity_id", "len", "x.field", "x.s")
+    # A term's places are a run of the sorted array.
+    term = lambda i: F.get("s", i)["term"]
+    places = F.sequence(F.lit(0), F.size("s") - 1)
+    begins = F.filter(places, lambda i: (i == 0) | ~term(i).eqNullSafe(term(i - 1)))
+    ends = F.filter(places, lambda i: (i == F.size("s") - 1) | ~term(i).eqNullSafe(term(i + 1)))
+
+    def posting(run: Column) -> Column:
+        n = run["e"] - run["b"] + 1
+        return F.struct(term(run["b"]).alias("term"), n.cast("bigint").alias("tf"), F.transform(F.slice("s", run["b"] + 1, n), lambda x: x["pos"]).alias("positions"))
+
+    runs = F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), posting)
+    total = F.struct(F.lit("").alias("term"), F.col("len").alias("tf"), F.array().cast("array<int>").alias("positions"))
+    found = F.when(F.col("field") == "", F.array(total)).when(F.size("s") > 0, runs)
+    return each.select("entity_id", "field", "len", F.explode(found).alias("x")).select("entity_id", "field", "x.term", "x.tf", "x.positions", "len")
 
 
 class Query:

@@ -281,6 +281,26 @@ class TestSearch:
         assert set(from_index) == want
         assert {r.entity_id: r.rank for r in search.bm25_scan(pool, query).collect()} == pytest.approx(from_index)
 
+    def test_index_of_odd_rows(self, spark):
+        """Empty and null fields, words found again, and ids in several rows, null too."""
+        rows = [("a", "x", "b a b", ""), ("b", None, None, None), ("c", "Z z", "q", "t"), ("c", "z", "q r", "t"), (None, "n", "n", "n"), (None, "n", "", ""), ("d", "", "", "")]
+        got = search.postings(spark.createDataFrame(rows, "id string, name string, summary string, type string")).collect()
+        want, lens, most = {}, [], {}
+        for id_, *texts in rows:
+            lens.append((id_, sum(len((x or "").split()) for x in texts)))
+            most[id_] = max(most.get(id_, 0), lens[-1][1])
+            for field, text in zip(search.FIELDS, texts, strict=True):
+                for i, w in enumerate((text or "").lower().split()):
+                    want.setdefault((id_, field, w), []).append(i)
+        key = lambda x: str(x)
+        assert {(r.entity_id, r.field, r.term): (r.tf, r.positions, r.len) for r in got if r.term} == {k: (len(v), sorted(v), most[k[0]]) for k, v in want.items()}
+        assert sum(bool(r.term) for r in got) == len(want)
+        assert sorted(((r.entity_id, r.tf) for r in got if not r.term), key=key) == sorted(lens, key=key)
+
+    def test_index_shuffles_no_words(self, pool):
+        plan = search.postings(pool)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+
     @pytest.mark.parametrize("query", ["", "rule-engine", "proj:a", "50%", "NOT x"])
     def test_not_a_query(self, query):
         with pytest.raises(SyntaxError):
