@@ -178,9 +178,10 @@ def _pairs_left_out(own: DataFrame, sought: DataFrame, letters: int, threshold:
     b = listed(spans, F.col("at")).select("key", "left", *(F.col(c).alias(f"b_{c}") for c in ("type", "id", "day", "len")))
     earlier = (F.struct("a_day", "a_id") < F.struct("b_day", "b_id")) & (F.col("a_day") >= F.col("b_day") - days) & (F.col("a_type") == F.col("b_type"))
     alike = 2 * F.col("left") >= threshold * (F.col("a_len") + F.col("b_len")) - 1e-9
-    pairs = a.join(b, "key").filter(earlier & alike).select(F.col("a_type").alias("type"), "a_id", "b_id").distinct()
+    # Merged, as exploded rows are many more than the planner takes them for when it broadcasts.
+    pairs = a.join(b.hint("merge"), "key").filter(earlier & alike).select(F.col("a_type").alias("type"), "a_id", "b_id").distinct()
     for s, df in (("a", own), ("b", sought)):
-        pairs = pairs.join(df.select("type", F.col("id").alias(f"{s}_id"), F.col("name").alias(f"{s}_name")), ["type", f"{s}_id"])
+        pairs = pairs.join(df.select("type", F.col("id").alias(f"{s}_id"), F.col("name").alias(f"{s}_name")).hint("merge"), ["type", f"{s}_id"])
     return pairs.select("type", F.col("a_id").alias("a"), F.col("b_id").alias("b"), matching_ratio("b_name", "a_name").alias("ratio")).filter(F.col("ratio") >= threshold)
 
 
@@ -197,7 +198,7 @@ def nearest_earlier(entities: DataFrame, threshold: float = 0.85, days: int = 30
     one = own.groupBy("type", "name", "first_seen").agg(F.min("id").alias("id"))
     one = one.withColumns({"day": F.datediff("first_seen", F.lit("1970-01-01").cast("date")), "len": F.length("name")})
     one = kept(one.withColumn("same", F.min("id").over(before)))
-    equal = own.join(one.select("type", "name", "first_seen", "same", F.col("id").alias("least")), ["type", "name", "first_seen"])
+    equal = own.join(one.select("type", "name", "first_seen", "same", F.col("id").alias("least")).hint("merge"), ["type", "name", "first_seen"])
     equal = equal.withColumn("a", F.least(F.when(F.col("least") < F.col("id"), F.col("least")), "same")).filter("a IS NOT NULL")
     equal = equal.select("a", F.col("id").alias("b"), F.lit(1.0).alias("ratio")).distinct()
     lengths = one.groupBy("type").agg(F.collect_set("len").alias("lengths"))
@@ -223,7 +224,7 @@ def nearest_earlier(entities: DataFrame, threshold: float = 0.85, days: int = 30
             return 2 * F.least(shorter, longer - out) / (other + F.col("len"))
 
         reached = F.greatest(F.coalesce("ratio", F.lit(0.0)), F.lit(threshold)) - 1e-9
-        after = sought.join(best.select("type", F.col("b").alias("id"), "ratio"), ["type", "id"], "left")
+        after = sought.join(best.select("type", F.col("b").alias("id"), "ratio").hint("merge"), ["type", "id"], "left")
         sought = kept(after.filter(F.exists("lengths", lambda x: could(x) >= reached)).drop("ratio"))
         if sought.isEmpty():
             break
